@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.delivery import once
-from . import percentiles, topn
+from ..session import Scratch
+from . import leakage, mixing, percentiles, topn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -48,8 +49,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 P4_BASE = """WITH o AS (SELECT DISTINCT obs_id, label, cohort, raw FROM observations WHERE raw IS NOT NULL AND isfinite(raw))"""
 P4_QUARTILES_SQL = (
     P4_BASE
-    + """ SELECT label, cohort, count(*) AS n, quantile_cont(raw, 0.25) AS q25, quantile_cont(raw, 0.5) AS q50, quantile_cont(raw, 0.75) AS q75
-FROM o GROUP BY label, cohort"""
+    + """, l AS (SELECT label, cohort, count(*) AS n, list_sort(list(raw)) AS v FROM o GROUP BY label, cohort),
+h AS (SELECT *, CAST(n - 1 AS DOUBLE) * CAST(0.25 AS DOUBLE) AS h1, CAST(n - 1 AS DOUBLE) * CAST(0.5 AS DOUBLE) AS h2, CAST(n - 1 AS DOUBLE) * CAST(0.75 AS DOUBLE) AS h3 FROM l)
+SELECT label, cohort, n, """
+    + ", ".join(
+        f"v[CAST(floor(h{i}) AS BIGINT) + 1] + (v[least(CAST(floor(h{i}) AS BIGINT) + 2, n)] - v[CAST(floor(h{i}) AS BIGINT) + 1]) * (h{i} - floor(h{i})) AS {q}"
+        for i, q in ((1, "q25"), (2, "q50"), (3, "q75"))
+    )
+    + " FROM h"
 )
 P4_FOUND_SQL = (
     P4_BASE
@@ -60,8 +67,41 @@ WHERE q25 < b[1] OR q25 > b[2] OR q50 < b[3] OR q50 > b[4] OR q75 < b[5] OR q75
 )
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+
+
+P7_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS r FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d WHERE len(w) >= 12)),
+ir AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS r FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE len(w) >= 12))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)
+"""
+
+
+def _plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    counts = mixing.token_counts(_t(spark, d, "documents"))
+    # counted once and written: the plan and the draw both read the counts
+    counts = Scratch(spark).save(counts)
+    return counts, mixing.mixing_plan(counts, _t(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _plan(spark, d)[1].filter("falls_short").select("source")
+
+
+def p8_plan(spark: SparkSession, d: str) -> DataFrame:
+    return _plan(spark, d)[1]
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    counts, plan = _plan(spark, d)
+    return mixing.draw(counts, plan, seed=17)
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_top": p2_top, "p4_found": p4_found, "p4_quartiles": p4_quartiles}
+    return {"p2_found": p2_found, "p2_top": p2_top, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -70,4 +110,5 @@ def oracle_sql() -> dict[str, str]:
         "p2_top": P2_SQL.format(cols="file, dimension, responsibility, line, function_name, hotspot_id, position"),
         "p4_found": P4_FOUND_SQL,
         "p4_quartiles": P4_QUARTILES_SQL,
+        "p7_found": P7_SQL,
     }
