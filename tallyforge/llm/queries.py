@@ -6,13 +6,31 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.delivery import once
 from ..session import Scratch
-from . import leakage, mixing, percentiles, topn
+from . import components, leakage, mixing, percentiles, topn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _t(spark, d, "near_pairs").select(F.col("a.fn_id").alias("a"), F.col("b.fn_id").alias("b"))
+    groups = components.links_of_groups(_t(spark, d, "duplicate_groups"), F.col("functions.fn_id"))
+    found = components.connected_components(pairs.unionByName(groups), "a", "b")
+    return found.select(F.col("node").alias("fn_id"), F.col("component").alias("component_id"))
+
+
+P1_SQL = """
+WITH RECURSIVE g AS (SELECT [f.fn_id for f in functions if f.fn_id IS NOT NULL] AS m FROM duplicate_groups),
+l AS (SELECT a.fn_id AS x, b.fn_id AS y FROM near_pairs WHERE a.fn_id IS NOT NULL AND b.fn_id IS NOT NULL
+      UNION ALL SELECT list_min(m), unnest(m) FROM g WHERE len(m) > 0),
+e AS (SELECT x, y FROM l WHERE x <> y UNION SELECT y, x FROM l WHERE x <> y),
+r AS (SELECT DISTINCT x AS fn_id, x AS other FROM e
+      UNION SELECT r.fn_id, e.y FROM r JOIN e ON r.other = e.x)
+SELECT fn_id, min(other) AS component_id FROM r GROUP BY fn_id
+"""
+
+
 def p2_top(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_per_group(_t(spark, d, "hotspots"), ["file", "dimension"], "responsibility", ["line", "function_name"], "hotspot_id", 3)
 
@@ -101,11 +119,12 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_top": p2_top, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": P1_SQL,
         "p2_found": P2_SQL.format(cols="hotspot_id"),
         "p2_top": P2_SQL.format(cols="file, dimension, responsibility, line, function_name, hotspot_id, position"),
         "p4_found": P4_FOUND_SQL,
