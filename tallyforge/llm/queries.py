@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.delivery import once
 from ..session import Scratch
-from . import components, leakage, mixing, percentiles, topn
+from . import components, leakage, mixing, percentiles, ranking, topn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -85,6 +85,44 @@ WHERE q25 < b[1] OR q25 > b[2] OR q50 < b[3] OR q50 > b[4] OR q75 < b[5] OR q75
 )
 
 
+#: The five dimensions.
+DIMENSIONS = ["bloat", "code_economy", "coupling_density", "duplication", "state_cardinality"]
+
+
+def p6_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(label, score, value) of the eleven scores, all turned so that high is good."""
+    res = once(_t(spark, d, "experiment_results").select("label", "composite_score"), "label").select("label", F.lit("composite").alias("score"), F.col("composite_score").alias("value"))
+    dims = once(_t(spark, d, "experiment_dimensions").select("label", "name", "score", "loss", "normalized"), "label", "name").filter(F.col("name").isin(DIMENSIONS))
+    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    dims = dims.select("label", F.explode(F.array(F.struct(F.concat(F.lit("score "), "name").alias("score"), F.coalesce(real("score"), 1 - real("loss")).alias("value")), F.struct(F.concat(F.lit("normalized "), "name").alias("score"), (-real("normalized")).alias("value")))).alias("x"))
+    return res.unionByName(dims.select("label", "x.score", "x.value"))
+
+
+def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
+    names = ["composite", *[f"{k} {x}" for k in ("score", "normalized") for x in DIMENSIONS]]
+    return ranking.rank_walk(p6_scores(spark, d), "label", "score", "value", names)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    ranked = Scratch(spark).save(p6_ranking(spark, d))
+    return ranked.filter(F.col("position") <= ranked.count() // 10).select("label")
+
+
+P6_SQL = """
+WITH r AS (SELECT label, any_value(composite_score) AS v FROM experiment_results GROUP BY label),
+e AS (SELECT DISTINCT label, name, score, loss, normalized FROM experiment_dimensions
+      WHERE name IN ('bloat', 'code_economy', 'coupling_density', 'duplication', 'state_cardinality')),
+s AS (SELECT label, 'composite' AS k, v FROM r
+      UNION ALL SELECT label, 's ' || name, CASE WHEN score IS NOT NULL AND NOT isnan(score) THEN score ELSE 1 - loss END FROM e
+      UNION ALL SELECT label, 'n ' || name, -normalized FROM e),
+ok AS (SELECT label, k, v FROM s WHERE v IS NOT NULL AND NOT isnan(v)),
+f AS (SELECT label, k, v FROM ok WHERE label IN (SELECT label FROM ok GROUP BY label HAVING count(*) = 11)),
+p AS (SELECT label, 2 * rank() OVER (PARTITION BY k ORDER BY v DESC) + count(*) OVER (PARTITION BY k, v) AS twice FROM f),
+t AS (SELECT label, row_number() OVER (ORDER BY sum(twice), label) AS position, count(*) OVER () AS n FROM p GROUP BY label)
+SELECT label FROM t WHERE position <= n // 10
+"""
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
@@ -119,7 +157,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -129,5 +167,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_top": P2_SQL.format(cols="file, dimension, responsibility, line, function_name, hotspot_id, position"),
         "p4_found": P4_FOUND_SQL,
         "p4_quartiles": P4_QUARTILES_SQL,
+        "p6_found": P6_SQL,
         "p7_found": P7_SQL,
     }
