@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.delivery import once
 from ..session import Scratch
-from . import components, leakage, mixing, percentiles, ranking, topn
+from . import components, leakage, mixing, neardup, percentiles, ranking, topn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -49,6 +49,28 @@ SELECT {cols} FROM r WHERE position <= 3
 """
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = neardup.near_duplicates(_t(spark, d, "fingerprints"), "fn_id", "shape")
+    return neardup.expand(found).select(F.col("a").alias("fn_id_a"), F.col("b").alias("fn_id_b"))
+
+
+P3_SQL = """
+WITH f AS (SELECT fn_id, any_value(shape) AS s FROM fingerprints WHERE len(shape) >= 20 GROUP BY fn_id),
+g AS (SELECT DISTINCT fn_id, s[k] || '/' || s[k + 1] || '/' || s[k + 2] AS r FROM (SELECT fn_id, s, unnest(range(1, len(s) - 1)) AS k FROM f)),
+n AS (SELECT fn_id, count(*) AS n FROM g GROUP BY fn_id),
+o AS (SELECT x.fn_id AS a, y.fn_id AS b, count(*) AS o FROM g x JOIN g y ON x.r = y.r AND x.fn_id < y.fn_id GROUP BY 1, 2)
+SELECT a AS fn_id_a, b AS fn_id_b FROM o JOIN n x ON x.fn_id = a JOIN n y ON y.fn_id = b WHERE CAST(o AS DOUBLE) / (x.n + y.n - o) > 0.8
+"""
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Each function with at least one partner, its class of equal shapes and the group that near-duplicates bring it together with."""
+    found = neardup.near_duplicates(_t(spark, d, "fingerprints"), "fn_id", "shape")
+    links = found.pairs.select("a", "b").unionByName(found.members.select(F.col("class").alias("a"), F.col("id").alias("b")))
+    groups = components.connected_components(links, "a", "b")
+    return found.members.join(groups, F.col("id") == F.col("node")).select(F.col("id").alias("fn_id"), F.col("class").alias("class_id"), F.col("component").alias("group_id"))
+
+
 def p4_quartiles(spark: SparkSession, d: str) -> DataFrame:
     q = percentiles.exact_percentiles(_t(spark, d, "observations"), ["label", "cohort"], "raw", "obs_id", [0.25, 0.5, 0.75])
     return q.select("label", "cohort", "n", *[F.col(f"q{i}").alias(c) for i, c in enumerate(["q25", "q50", "q75"])])
@@ -157,7 +179,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -165,6 +187,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": P1_SQL,
         "p2_found": P2_SQL.format(cols="hotspot_id"),
         "p2_top": P2_SQL.format(cols="file, dimension, responsibility, line, function_name, hotspot_id, position"),
+        "p3_found": P3_SQL,
         "p4_found": P4_FOUND_SQL,
         "p4_quartiles": P4_QUARTILES_SQL,
         "p6_found": P6_SQL,
