@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.delivery import once
 from ..session import Scratch
-from . import components, leakage, mixing, neardup, percentiles, ranking, topn
+from . import components, leakage, mixing, neardup, percentiles, ranking, spans, topn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -107,6 +107,27 @@ WHERE q25 < b[1] OR q25 > b[2] OR q50 < b[3] OR q50 > b[4] OR q75 < b[5] OR q75
 )
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(_t(spark, d, "fingerprints"), "fn_id", "shape").withColumnRenamed("id", "fn_id")
+
+
+P5_SQL = """
+WITH f AS (SELECT fn_id, any_value(shape) AS s FROM fingerprints WHERE len(shape) >= 40 GROUP BY fn_id),
+w AS (SELECT fn_id, k, array_to_string(s[k:k + 39], '/') AS w FROM (SELECT fn_id, s, unnest(range(1, len(s) - 38)) AS k FROM f)),
+r AS (SELECT w FROM w GROUP BY w HAVING min(fn_id) <> max(fn_id)),
+c AS (SELECT fn_id, k, k - lag(k, 1, -1000) OVER (PARTITION BY fn_id ORDER BY k) > 40 AS new FROM w WHERE w IN (SELECT w FROM r)),
+g AS (SELECT fn_id, k, sum(CAST(new AS INT)) OVER (PARTITION BY fn_id ORDER BY k) AS g FROM c)
+SELECT fn_id, min(k) - 1 AS span_start, max(k) + 39 AS span_end FROM g GROUP BY fn_id, g
+"""
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each function's shape is shared elsewhere, by name and file."""
+    f = once(_t(spark, d, "fingerprints").select("fn_id", "name", "file", F.size("shape").cast("bigint").alias("tokens")), "fn_id")
+    s = p5_found(spark, d).groupBy("fn_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared"))
+    return f.filter("tokens > 0").join(s, "fn_id", "left").select("fn_id", "name", "file", "tokens", F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
 #: The five dimensions.
 DIMENSIONS = ["bloat", "code_economy", "coupling_density", "duplication", "state_cardinality"]
 
@@ -179,7 +200,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -190,6 +211,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": P3_SQL,
         "p4_found": P4_FOUND_SQL,
         "p4_quartiles": P4_QUARTILES_SQL,
+        "p5_found": P5_SQL,
         "p6_found": P6_SQL,
         "p7_found": P7_SQL,
     }
