@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.delivery import once
 from ..session import Scratch
-from . import components, leakage, mixing, neardup, percentiles, ranking, spans, topn
+from . import components, leakage, mixing, neardup, percentiles, ranking, spans, stuffed, topn
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -199,8 +199,16 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.draw(counts, plan, seed=17)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed.stuffed_pages(_t(spark, d, "documents")).select("doc_id")
+
+
+def p9_pages(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed.page_evidence(_t(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix, "p9_found": p9_found, "p9_pages": p9_pages}
 
 
 def oracle_sql() -> dict[str, str]:
