@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.sets import ngrams
+from ..functions.sets import run_hashes
 
 
 def exact_groups(df: DataFrame, shape: str = "shape", member: str = "fn_id", least: int = 5) -> DataFrame:
@@ -27,16 +27,20 @@ def near_pairs(df: DataFrame, shape: str = "shape", member: str = "fn_id", thres
     """(a, b, similarity), a < b: items in no exact group whose distinct 3-grams have a Jaccard similarity above ``threshold``.
 
     Prefix filter: the runs of a set are ordered by a hash, and only the first n - ceil(t n) + 1 are joined on; any pair
-    above the threshold meets in one of them. Size and length bounds are part of the join's condition, and pairs are
-    verified on the full sets only after they are made distinct.
+    above the threshold meets in one of them. Size and length bounds and a parity bitmap (each run flips one of 128 bits, so
+    differing bits bound the difference of the sets from below) are part of the join's condition; what passes is made
+    distinct and verified on the full sets.
     """
     rows = df.filter(F.size(shape) >= least).select(F.col(member).alias("m"), F.col(shape).alias("s"))
     single = rows.join(exact_members(df, shape, member, least).select(F.col(member).alias("m")), "m", "left_anti")
-    grams = F.array_sort(F.transform(ngrams(F.col("s"), 3), lambda g: F.xxhash64(g)))
-    sets = single.select("m", grams.alias("g"), F.size("s").alias("len")).withColumn("n", F.size("g"))
-    head = sets.select("m", "n", "len", F.explode(F.slice("g", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("k"))
+    sets = single.select("m", F.array_sort(run_hashes(F.col("s"), 3)).alias("g"), F.size("s").alias("len")).withColumn("n", F.size("g"))
+    flip = lambda half: F.aggregate("g", F.lit(0).cast("bigint"), lambda a, h: F.when(F.pmod(F.shiftright(h, 6), F.lit(2)) == half, a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int")))).otherwise(a))
+    sets = sets.withColumn("w0", flip(0)).withColumn("w1", flip(1))
+    head = sets.select("m", "n", "len", "w0", "w1", F.explode(F.slice("g", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("k"))
     x, y = head.alias("x"), head.alias("y")
     fits = (F.least("x.n", "y.n") > threshold * F.greatest("x.n", "y.n") - 1e-9) & (F.least("x.len", "y.len") >= length_ratio * F.greatest("x.len", "y.len"))
+    differ = F.bit_count(F.col("x.w0").bitwiseXOR(F.col("y.w0"))) + F.bit_count(F.col("x.w1").bitwiseXOR(F.col("y.w1")))
+    fits = fits & (differ <= (F.col("x.n") + F.col("y.n")) * ((1 - threshold) / (1 + threshold)) + 1e-9)
     pairs = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.m") < F.col("y.m")) & fits).select(F.col("x.m").alias("a"), F.col("y.m").alias("b")).distinct()
     side = lambda c: sets.select(F.col("m").alias(c), F.col("g").alias(f"g{c}"), F.col("n").alias(f"n{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("ga", "gb")))

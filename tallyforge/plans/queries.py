@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import color, scores as s, text
 from ..operators import aggregates, attribution, cohorts, coupling, diffs, duplicates, entropy, frames, matching, overlay, rollup, summaries
 from ..operators.delivery import once
-from ..policy import Aggregation, Policy, Scales, Strategy
+from ..policy import Aggregation, Policy, Strategy
+from ..sources import rust
 from ..streaming import debounce
 from . import dimensions
 
@@ -552,6 +553,14 @@ def q_duration(spark, d):
     return _t(spark, d, "events").select("event_id", text.clock(sec).alias("clock"), text.compact_duration(sec).alias("compact"))
 
 
+@query()
+def q_rust_functions(spark, d):
+    """Functions found in the documents that are Rust source as a whole."""
+    rows = once(_t(spark, d, "documents").select("doc_id", "text", "source").filter("text is not null"), "doc_id").filter("lower(trim(source)) = 'source_listings'")
+    found = rust.snapshot(rows.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))).functions
+    return found.select("file", "name", "line", "lines", "params", "nesting_depth", "cyclomatic", "mutable_bindings", "assertions", "is_pub")
+
+
 # ---- duplicates ----
 
 
@@ -859,4 +868,4 @@ def q_easing(spark, d):
     return debounce.ease(e, "user_id", "s", "value", rate=0.001)
 
 
-__all__ = ["QUERIES", "SQL", "Scales"]
+__all__ = ["QUERIES", "SQL"]
