@@ -43,6 +43,7 @@ def analyze(spark: SparkSession, path: str, policy: Policy = Policy(), semantic:
     if "call_edges" in sem:
         obs = obs.unionByName(dimensions.coupling_rows(sem["call_edges"]))
     stats = cohorts.cohort_stats(corpus.cohort_feed(source.functions, source.types), ["cohort"], "value")
-    obs = dimensions.score_observations(obs, policy, stats)
+    # read by every dimension, by the composite and by the heatmap
+    obs = dimensions.score_observations(obs, policy, stats).persist()
     scored = dimensions.score(obs, policy, spark.range(1).select(), dup)
     return Report(source, summary, entropy.entropy(counts, ["path"]), entropy.entropy(entropy.pooled(counts)), dup, scored, dimensions.heatmap(scored, policy))

@@ -27,10 +27,10 @@ MEASURED = T.StructType(
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.rs") -> DataFrame:
     """(path, content) of a single file, whatever its name, or of all matching files below a folder."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if not path.endswith(".rs"):
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return reader.load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

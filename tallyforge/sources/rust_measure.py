@@ -332,7 +332,6 @@ def measure_file(source: str, file: str) -> dict:
                     else:
                         out["macros"] += 1
 
-    p.attributes()
     walk(p.items(), (), True, False)
     return out
 

@@ -22,7 +22,7 @@ _TOKEN = re.compile(
       |(?P<life>'[A-Za-z_]\w*)
       |(?P<num>\d[\w]*(?:\.\d[\w]*)?(?:(?<=[eE])[+-]\d[\d_]*)?)
       |(?P<id>(?:r\#)?[^\W\d]\w*)
-      |(?P<punct>[^\s\w])""",
+      |(?P<punct>[^\s\w"'])""",
     re.X | re.S,
 )
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
@@ -798,6 +798,10 @@ class Parser:
         while self.more():
             if self.take(";"):
                 continue
+            if self.at("#") and self.at("!", ahead=1) and self.at("[", ahead=2):
+                self.i += 2
+                self.inside()
+                continue
             before = self.i
             it = self.item()
             if self.i == before:
