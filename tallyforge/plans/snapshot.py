@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import cohorts, duplicates, entropy, summaries
+from ..operators import aggregates, cohorts, duplicates, entropy, summaries
 from ..policy import Policy
 from ..sources import rust
 from . import corpus, dimensions
@@ -46,4 +46,7 @@ def analyze(spark: SparkSession, path: str, policy: Policy = Policy(), semantic:
     # read by every dimension, by the composite and by the heatmap
     obs = dimensions.score_observations(obs, policy, stats).persist()
     scored = dimensions.score(obs, policy, spark.range(1).select(), dup)
-    return Report(source, summary, entropy.entropy(counts, ["path"]), entropy.entropy(entropy.pooled(counts)), dup, scored, dimensions.heatmap(scored, policy))
+    scored.dimensions = scored.dimensions.persist()  # five rows, read by the composite and once per itemized dimension
+    scored.composite = scored.dimensions.agg(aggregates.scalarize(F.col("score"), policy.objective_scalarization).alias("score"))
+    heat = dimensions.heatmap(scored, policy).persist()
+    return Report(source, summary, entropy.entropy(counts, ["path"]), entropy.entropy(entropy.pooled(counts)), dup, scored, heat)
