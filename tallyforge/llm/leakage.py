@@ -128,7 +128,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     def scan(shared):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = shared.value
+            index = ItemIndex(**shared.value)
             for b in batches:
                 queue, found = [], set()
                 for d, t in zip(b["doc_id"].tolist(), b["text"].tolist()):
@@ -157,5 +157,5 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     for part in shards():
         index = build_index(list(dict.fromkeys(part)), n)
         if index:
-            out = out.unionByName(rows.mapInPandas(scan(spark.sparkContext.broadcast(index)), schema))
+            out = out.unionByName(rows.mapInPandas(scan(spark.sparkContext.broadcast(vars(index))), schema))
     return out.dropDuplicates()
