@@ -212,42 +212,39 @@ def observations(spark, d) -> DataFrame:
 
 
 OB1 = "ob1 AS (SELECT * FROM observations QUALIFY row_number() OVER (PARTITION BY obs_id ORDER BY ingested_at) = 1)"
-#: The few absurdly large finite values make sums of squares meaningless in double precision; they are cut off for the moments.
-SANE = "abs(raw) < 1e6"
-
-
-def sane(spark, d) -> DataFrame:
-    return observations(spark, d).filter(SANE)
+def f32(c: str) -> F.Column:
+    """In single precision, so that the order of a sum's terms can't decide."""
+    return F.col(c).cast("float").cast("double").alias(c)
 
 
 _ST = f"""st AS (SELECT cohort, count(*) AS value_count, avg(raw) AS mean, stddev_pop(raw) AS stddev, min(raw) AS min_raw, max(raw) AS max_raw,
-quantile_cont(raw, 0.25) AS q25, quantile_cont(raw, 0.5) AS q50, quantile_cont(raw, 0.75) AS q75 FROM ob1 WHERE isfinite(raw) AND {SANE} GROUP BY cohort)"""
+quantile_cont(raw, 0.25) AS q25, quantile_cont(raw, 0.5) AS q50, quantile_cont(raw, 0.75) AS q75 FROM ob1 WHERE isfinite(raw) GROUP BY cohort)"""
 
 
-@query(f"WITH {OB1}, {_ST} SELECT cohort, value_count, round(mean, 4) AS mean, round(stddev, 4) AS stddev, round(min_raw, 4) AS min_raw, round(max_raw, 4) AS max_raw, round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75 FROM st")
+@query(f"WITH {OB1}, {_ST} SELECT cohort, value_count, CAST(CAST(mean AS FLOAT) AS DOUBLE) AS mean, CAST(CAST(stddev AS FLOAT) AS DOUBLE) AS stddev, CAST(CAST(min_raw AS FLOAT) AS DOUBLE) AS min_raw, CAST(CAST(max_raw AS FLOAT) AS DOUBLE) AS max_raw, CAST(CAST(q25 AS FLOAT) AS DOUBLE) AS q25, CAST(CAST(q50 AS FLOAT) AS DOUBLE) AS q50, CAST(CAST(q75 AS FLOAT) AS DOUBLE) AS q75 FROM st")
 def q_cohort_stats(spark, d):
-    st = cohorts.cohort_stats(sane(spark, d), ["cohort"], "raw")
-    return st.select("cohort", "value_count", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "min_raw", "max_raw", "q25", "q50", "q75")])
+    st = cohorts.cohort_stats(observations(spark, d), ["cohort"], "raw")
+    return st.select("cohort", "value_count", *[f32(c) for c in ("mean", "stddev", "min_raw", "max_raw", "q25", "q50", "q75")])
 
 
-@query(f"WITH {OB1}, {_ST} SELECT cohort, value_count, round(mean, 4) AS mean, round(stddev, 4) AS stddev, round(min_raw, 4) AS min_raw, round(max_raw, 4) AS max_raw FROM st")
+@query(f"WITH {OB1}, {_ST} SELECT cohort, value_count, CAST(CAST(mean AS FLOAT) AS DOUBLE) AS mean, CAST(CAST(stddev AS FLOAT) AS DOUBLE) AS stddev, CAST(CAST(min_raw AS FLOAT) AS DOUBLE) AS min_raw, CAST(CAST(max_raw AS FLOAT) AS DOUBLE) AS max_raw FROM st")
 def q_moments_merge(spark, d):
     """Moments of each month, combined: the same as over all rows."""
-    obs = once(_t(spark, d, "observations").select("obs_id", "cohort", "raw", F.trunc("run_at", "month").alias("month")), "obs_id").filter(SANE)
+    obs = once(_t(spark, d, "observations").select("obs_id", "cohort", "raw", F.trunc("run_at", "month").alias("month")), "obs_id")
     merged = cohorts.merge_moments(cohorts.moments(obs, ["month", "cohort"], "raw"), ["cohort"])
-    return merged.select("cohort", "value_count", *[F.round(c, 4).alias(c) for c in ("mean", "stddev", "min_raw", "max_raw")])
+    return merged.select("cohort", "value_count", *[f32(c) for c in ("mean", "stddev", "min_raw", "max_raw")])
 
 
 def _norm(strategy: Strategy, sql: str, name: str) -> None:
     full = f"""WITH {OB1}, {_ST}, th AS (SELECT *, {sql} AS t FROM st WHERE cohort = 'bloat_function'),
 u AS (SELECT CASE WHEN value_count >= {strategy.min_count} AND t > 1e-15 THEN t ELSE log2(45.0) END AS t FROM th)
-SELECT obs_id, round(raw / t, 4) AS normalized FROM ob1, u WHERE cohort = 'bloat_function' AND isfinite(raw) AND {SANE}"""
+SELECT obs_id, CAST(CAST(raw / t AS FLOAT) AS DOUBLE) AS normalized FROM ob1, u WHERE cohort = 'bloat_function' AND isfinite(raw)"""
 
     def run(spark, d):
-        obs = sane(spark, d).filter("cohort = 'bloat_function' and not isnan(raw)")
+        obs = observations(spark, d).filter(cohorts.finite(F.col("raw")) & (F.col("cohort") == "bloat_function"))
         st = cohorts.cohort_stats(obs, ["cohort"], "raw")
         out = cohorts.normalize(obs, st, "bloat_function", Policy(normalization={"bloat_function": strategy}), ["cohort"])
-        return out.select("obs_id", F.round("normalized", 4).alias("normalized"))
+        return out.select("obs_id", f32("normalized"))
 
     query(full, name)(run)
 
