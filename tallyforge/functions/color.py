@@ -65,3 +65,20 @@ def hsl_to_rgb(h: Column, s: Column, lightness: Column) -> Column:
         return F.round((out + m) * 255.0).cast("bigint")
 
     return F.struct(*[channel(k).alias(n) for k, n in enumerate("rgb")])
+
+
+def contrast_violation(fg: Column, bg: Column, symbol: Column, least: float = 4.5) -> Column:
+    """Whether a visible cell's contrast is below ``least``; colours are structs of r, g, b."""
+    lum = lambda c: relative_luminance(*[c[x].cast("double") for x in "rgb"])
+    return (F.trim(symbol) != "") & (contrast_ratio(lum(fg), lum(bg)) < least)
+
+
+def osc_colour(reply: Column) -> Column:
+    """The colour of a terminal's reply ``rgb:RRRR/GGGG/BBBB`` (one to four hex digits each), scaled to 0..255; NULL if there is none."""
+
+    def channel(k: int) -> Column:
+        digits = F.regexp_extract(reply, "rgb:([0-9A-Fa-f]{1,4})/([0-9A-Fa-f]{1,4})/([0-9A-Fa-f]{1,4})", k)
+        return F.round(F.conv(digits, 16, 10).cast("double") * 255 / (F.pow(F.lit(16.0), F.length(digits)) - 1)).cast("bigint")
+
+    found = reply.rlike("rgb:[0-9A-Fa-f]{1,4}/[0-9A-Fa-f]{1,4}/[0-9A-Fa-f]{1,4}")
+    return F.when(found, F.struct(*[channel(k + 1).alias(c) for k, c in enumerate("rgb")]))

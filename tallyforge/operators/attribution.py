@@ -112,6 +112,13 @@ def equal_share_heatmap(items: DataFrame, group: Sequence[str], dimension: DataF
     return out.withColumn("responsibility", F.col("_share") * w).drop("_share")
 
 
+def whole_share(dimension: DataFrame, others: DataFrame, name: str, group: Sequence[str] = (), kind: str = "geometric_mean_score") -> DataFrame:
+    """One ``<codebase>`` row that carries the whole responsibility of a dimension without items, where it has any loss."""
+    top = dimension.join(others, list(group)) if group else dimension.crossJoin(F.broadcast(others))
+    gain = replace_in_composite(F.lit(1.0), kind) - replace_in_composite(F.col("score"), kind)
+    return top.filter(has_loss(F.col("score"))).select(*group, F.lit("<codebase>").alias("file"), F.lit(0).cast("bigint").alias("line"), F.lit("<codebase>").alias("function_name"), F.lit(name).alias("dimension"), gain.alias("responsibility")).filter(F.col("responsibility") >= LOSS_TOLERANCE)
+
+
 def heatmap_order() -> list[Column]:
     """The total order of heatmap rows."""
     return [F.col("responsibility").desc(), F.col("dimension"), F.col("file"), F.col("line"), F.col("function_name")]

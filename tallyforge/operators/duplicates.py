@@ -54,3 +54,16 @@ def duplication_score(df: DataFrame, shape: str = "shape", member: str = "fn_id"
     total = df.agg(F.count("*").alias("fingerprinted"))
     out = total.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(near))
     return out.withColumn("duplication_score", F.when(F.col("fingerprinted") > 0, (F.col("exact") + F.col("near")) / F.col("fingerprinted")).otherwise(0.0))
+
+
+def details(exact: DataFrame, near: DataFrame, member: str = "fn_id") -> DataFrame:
+    """(member, detail): what each duplicated item is part of, exact groups first.
+
+    ``exact`` has (member, first), ``near`` has (a, b, similarity). Equal texts of one item are merged before they are
+    joined; an item's texts are as many as it has partners.
+    """
+    one = exact.select(F.col(member), F.lit(0).alias("o"), F.concat(F.lit("same as "), F.col("first").cast("string")).alias("t"))
+    pairs = near.select(F.explode(F.array(F.struct(F.col("a").alias("m"), F.col("b").alias("p"), "similarity"), F.struct(F.col("b").alias("m"), F.col("a").alias("p"), "similarity"))).alias("x"))
+    two = pairs.select(F.col("x.m").alias(member), F.lit(1).alias("o"), F.concat(F.lit("near "), F.col("x.p").cast("string")).alias("t"))
+    texts = F.array_sort(F.collect_set(F.struct("o", "t")))
+    return one.unionByName(two).groupBy(member).agg(F.array_join(F.transform(texts, lambda x: x["t"]), "; ").alias("detail"))

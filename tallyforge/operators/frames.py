@@ -61,3 +61,19 @@ def visible_window(df: DataFrame, group: str, order: str, width: str, selected:
     start = F.min(F.when(F.col("_goal") - F.col("_begin") <= room, F.col("_begin"))).over(all_)
     rows = rows.withColumn("_start", start)
     return rows.filter((F.col("_begin") >= F.col("_start")) & (F.col("_end") <= F.col("_start") + room)).drop("_end", "_begin", "_goal", "_start")
+
+
+def palette(cells: DataFrame, colour: str = "fg", symbol: str = "symbol") -> DataFrame:
+    """The distinct colours of cells that show something."""
+    return cells.filter(F.trim(symbol) != "").select(colour).distinct()
+
+
+def buffer_text(cells: DataFrame, frame: str, row: str, column: str, symbol: str) -> DataFrame:
+    """(frame, row, line): the cells of each row as text without blanks at its end. A row is as wide as the screen."""
+    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(column, symbol))), lambda c: c[symbol]), "")
+    return cells.groupBy(frame, row).agg(F.rtrim(line).alias("line"))
+
+
+def page_window(selected: F.Column, room: int, total: F.Column) -> F.Column:
+    """First row of a window of ``room`` rows that keeps ``selected`` visible, as late as needed."""
+    return F.least(F.greatest(selected - room + 1, F.lit(0)), F.greatest(total - room, F.lit(0)))

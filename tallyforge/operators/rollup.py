@@ -104,3 +104,31 @@ def legend(df: DataFrame, group: list[str], label: str, amount: str, width: int,
     shown = rows.filter("_fits").select(*group, F.col(label).alias("label"), F.lit(1).cast("bigint").alias("types"), (F.col(amount) / F.col("_all")).alias("share"))
     rest = rows.filter("not _fits").groupBy(*group).agg(F.count("*").alias("types"), (F.sum(amount) / F.max("_all")).alias("share")).select(*group, F.concat(F.lit("+"), F.col("types"), F.lit(" types")).alias("label"), "types", "share")
     return shown.unionByName(rest)
+
+
+def ancestors(tree: DataFrame, target: str) -> DataFrame:
+    """(depth, key): the nodes from the root to a target node."""
+    at = tree.filter(key(F.col("path")) == target)
+    return at.select(F.posexplode(prefixes(F.col("path"))).alias("i", "p")).select((F.col("i") + 1).cast("bigint").alias("depth"), key(F.col("p")).alias("key"))
+
+
+def flame_rows(tree: DataFrame, target: str, width: int) -> DataFrame:
+    """(key, depth, cells): the rows of a flame graph opened along the path to ``target``.
+
+    Roots share ``width`` in proportion to their amounts, and so do the children of each node on the path, within its own
+    cells; every row gets at least one cell. The loop runs once per level of the path, over the siblings of one node.
+    """
+    steps = [r["key"] for r in ancestors(tree, target).orderBy("depth").collect()]  # one row per level
+    rows = tree.select(key(F.col("path")).alias("key"), key(F.col("parent")).alias("up"), "depth", "responsibility")
+    top = rows.filter("depth = 1")
+    total = top.agg(F.sum("responsibility").alias("all"))
+    share = lambda w: F.greatest(F.floor(w * F.col("responsibility") / F.col("all")), F.lit(1)).cast("bigint")
+    level = top.crossJoin(F.broadcast(total)).select("key", "depth", share(F.lit(width)).alias("cells"))
+    out = level
+    for step in steps:
+        here = level.filter(F.col("key") == step).select(F.col("key").alias("up"), F.col("cells").alias("w"))
+        below = rows.join(F.broadcast(here), "up")
+        total = below.agg(F.sum("responsibility").alias("all"))
+        level = below.crossJoin(F.broadcast(total)).select("key", "depth", share(F.col("w")).alias("cells"))
+        out = out.unionByName(level)
+    return out

@@ -149,3 +149,19 @@ def heatmap(scored: Scored, policy: Policy, by: Sequence[str] = ()) -> DataFrame
         rows = rows.select(*by, "file", "line", F.col("name").alias("function_name"), "dimension", "responsibility", "detail", "scope_path")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def duplication_rows(functions: DataFrame, details: DataFrame, member: str = "fn_id", by: Sequence[str] = ()) -> DataFrame:
+    """One row of score 0 for each duplicated function (``duplicates.details``); the dimension's score stays global."""
+    own = functions.join(details, member)
+    return _rows(own, by, "duplication", "function", None, F.lit(1.0), F.lit(1.0), F.col("detail")).withColumn("calibrated_score", F.lit(0.0))
+
+
+def coupling_fallback(saved: DataFrame | None, snapshots: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, dimension, score) without call edges: 1 - saved density, and 1 where nothing was saved."""
+    rows = snapshots.select(*by)
+    if saved is not None:
+        rows = rows.join(saved, list(by), "left") if by else rows.crossJoin(F.broadcast(saved))
+    else:
+        rows = rows.withColumn("density", F.lit(None).cast("double"))
+    return rows.select(*by, F.lit("coupling_density").alias("dimension"), s.clamp01(1.0 - F.coalesce("density", F.lit(0.0))).alias("score"))

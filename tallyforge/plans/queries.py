@@ -865,4 +865,81 @@ def q_easing(spark, d):
     return debounce.ease(e, "user_id", "s", "value", rate=0.001)
 
 
+# ---- details, fallbacks and screens ----
+
+
+@query(
+    f"""WITH {ND}, e AS (SELECT l.fn_id, 0 AS o, 'same as ' || f AS t FROM lf l JOIN ex USING (s)), n AS (SELECT a AS fn_id, 1 AS o, 'near ' || b AS t FROM np UNION ALL SELECT b, 1, 'near ' || a FROM np), x AS (SELECT DISTINCT * FROM (SELECT * FROM e UNION ALL SELECT * FROM n))
+SELECT fn_id, string_agg(t, '; ' ORDER BY o, t) AS detail FROM x GROUP BY fn_id"""
+)
+def q_dup_details(spark, d):
+    fp = fingerprints(spark, d)
+    return duplicates.details(duplicates.exact_members(fp), duplicates.near_pairs(fp))
+
+
+@query(f"WITH {DIMS}, s AS (SELECT DISTINCT label FROM co), v AS (SELECT label, row_number() OVER (ORDER BY label) / 10.0 AS density FROM s) SELECT label, 'coupling_density' AS dimension, round(1 - CASE WHEN label < '3' THEN density ELSE 0 END, 6) AS score FROM v")
+def q_coupling_fallback(spark, d):
+    labels = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("label")).distinct()
+    saved = labels.filter("label < '3'").select("label", (F.left("label", F.lit(1)).cast("double") / 10).alias("density"))
+    return dimensions.coupling_fallback(saved, labels, ["label"]).select("label", "dimension", r6("score"))
+
+
+@query(
+    f"""WITH {DIMS}, p AS (SELECT label, exp(sum(ln(score)) FILTER (dimension <> 'bloat') / 5) - exp(avg(ln(score))) AS r FROM dm GROUP BY label)
+SELECT label, '<codebase>' AS file, CAST(0 AS BIGINT) AS line, '<codebase>' AS function_name, 'bloat' AS dimension, round(r, 6) AS responsibility FROM p WHERE r >= 1e-12"""
+)
+def q_heatmap_whole(spark, d):
+    dims = scored_corpus(spark, d).dimensions
+    rest = attribution.composite_with(dims.filter("dimension <> 'bloat'"), ["label"])
+    own = dims.filter("dimension = 'bloat'").select("label", "score")
+    return attribution.whole_share(own, rest, "bloat", ["label"]).withColumn("responsibility", F.round("responsibility", 6) + F.lit(0.0))
+
+
+@query(
+    f"""WITH {NT}, t AS (SELECT sum(c) AS t FROM rt), a AS (SELECT 'module:' || r_name AS key, r_name, CAST(1 AS BIGINT) AS depth, CAST(greatest(floor(80 * c / t), 1) AS BIGINT) AS cells FROM rt, t)
+SELECT key, depth, cells FROM a UNION ALL SELECT 'module:ASIA/module:' || n_name, 2, CAST(greatest(floor(a.cells * nt.c / sum(nt.c) OVER ()), 1) AS BIGINT) FROM nt JOIN a ON nt.r_name = a.r_name WHERE nt.r_name = 'ASIA'"""
+)
+def q_flame_rows(spark, d):
+    return rollup.flame_rows(_nation_tree(spark, d), "module:ASIA", 80)
+
+
+@query(f"WITH {NT}, t AS (SELECT r_name, n_name FROM nt ORDER BY r_name, n_name LIMIT 1) SELECT CAST(1 AS BIGINT) AS depth, 'module:' || r_name AS key FROM t UNION ALL SELECT 2, 'module:' || r_name || '/module:' || n_name FROM t")
+def q_ancestors(spark, d):
+    tree = _nation_tree(spark, d)
+    target = tree.filter("depth = 2").select(rollup.key(F.col("path")).alias("k")).orderBy("k").first()["k"]
+    return rollup.ancestors(tree, target)
+
+
+CE = "ce AS (SELECT event_type AS frame, user_id % 20 AS y, user_id AS x, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE chr(CAST(97 + event_id % 26 AS INT)) END AS symbol, event_id % 7 AS fg FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS n FROM events) WHERE n = 1)"
+
+
+def _cells(spark, d) -> DataFrame:
+    e = _t(spark, d, "events")
+    first = e.groupBy("event_type", "user_id").agg(F.min("event_id").alias("event_id"))
+    sym = F.when(F.col("event_id") % 5 == 0, " ").otherwise(F.char(97 + F.col("event_id") % 26))
+    return first.select(F.col("event_type").alias("frame"), (F.col("user_id") % 20).alias("y"), F.col("user_id").alias("x"), sym.alias("symbol"), (F.col("event_id") % 7).alias("fg"))
+
+
+@query(f"WITH {CE} SELECT DISTINCT fg FROM ce WHERE trim(symbol) <> ''")
+def q_palette(spark, d):
+    return frames.palette(_cells(spark, d))
+
+
+@query(f"WITH {CE} SELECT frame, y, rtrim(string_agg(symbol, '' ORDER BY x)) AS line FROM ce GROUP BY frame, y")
+def q_buffer_text(spark, d):
+    return frames.buffer_text(_cells(spark, d), "frame", "y", "x", "symbol")
+
+
+@query(f"WITH {RA} SELECT event_id FROM cl WHERE 1.05 / (({_LUM}) + 0.05) < 3.0")
+def q_contrast_violations(spark, d):
+    rows = _colours(spark, d).select("event_id", F.struct("r", "g", "b").alias("fg"))
+    white = F.struct(*[F.lit(255).alias(x) for x in "rgb"])
+    return rows.filter(color.contrast_violation(F.col("fg"), white, F.lit("x"), 3.0)).select("event_id")
+
+
+@query("SELECT user_id, event_id, least(greatest(user_id - 9, 0), 140) AS first_row FROM events")
+def q_page_window(spark, d):
+    return _t(spark, d, "events").select("user_id", "event_id", frames.page_window(F.col("user_id"), 10, F.lit(150)).alias("first_row"))
+
+
 __all__ = ["QUERIES", "SQL"]

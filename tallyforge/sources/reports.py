@@ -117,3 +117,28 @@ def snippet(files: DataFrame, path: str) -> DataFrame:
 def component_path_order(path: Column) -> Column:
     """Sorting key that compares paths by component."""
     return F.split(path, "/")
+
+
+def text_diff(before: Column, after: Column) -> Column:
+    """Unified line diff of two texts; empty if they are equal. Arrow batches, for rendered frames and snippets."""
+    import difflib
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def diff(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), "expected", "actual", lineterm="")) for x, y in zip(a, b)])
+
+    return diff(before, after)
+
+
+def compare(before, after) -> dict[str, DataFrame]:
+    """All differences of two ``plans.snapshot.Report``s: summary, heatmap, dimensions, strict loss deltas."""
+    from ..operators import diffs
+
+    return {
+        "summary": diffs.diff_summaries(before.summary, after.summary),
+        "heatmap": diffs.diff_heatmaps(before.heatmap, after.heatmap),
+        "dimensions": diffs.diff_dimensions(before.scored.dimensions, after.scored.dimensions),
+        "loss_delta": diffs.strict_loss_delta(before.scored.dimensions, after.scored.dimensions),
+    }

@@ -223,3 +223,25 @@ def test_frames(spark):
     assert frames.smoothness(d, "series").first()["smoothness"] == pytest.approx(0.5)
     assert frames.coverage(df, "series", "frame", "cells").first()["coverage"] == 0.5
     assert frames.periodicity(df, "series", "frame", "cells").first()["distance"] == 2.0
+
+
+def test_details_fallbacks_and_screens(spark):
+    from tallyforge.functions import color
+    from tallyforge.plans import dimensions
+    from tallyforge.sources import reports
+
+    exact = spark.createDataFrame([(1, 1), (2, 1)], "fn_id long, first long")
+    near = spark.createDataFrame([(2, 5, 0.9)], "a long, b long, similarity double")
+    assert {tuple(r) for r in duplicates.details(exact, near).collect()} == {(1, "same as 1"), (2, "same as 1; near 5"), (5, "near 2")}
+    snaps = spark.createDataFrame([("x",), ("y",)], "label string")
+    saved = spark.createDataFrame([("x", 0.3)], "label string, density double")
+    assert {r["label"]: r["score"] for r in dimensions.coupling_fallback(saved, snaps, ["label"]).collect()} == {"x": pytest.approx(0.7), "y": 1.0}
+    one = spark.createDataFrame([("rgb:ffff/0000/80", "a\nb", "a\nc")], "r string, a string, b string")
+    got = one.select(color.osc_colour(F.col("r")).alias("c"), color.osc_colour(F.lit("none")).alias("n"), reports.text_diff(F.col("a"), F.col("b")).alias("d")).first()
+    assert tuple(got["c"]) == (255, 0, 128) and got["n"] is None and "-b" in got["d"] and "+c" in got["d"]
+    cells = spark.createDataFrame([("f", 0, 1, "b", 3), ("f", 0, 0, "a", 3), ("f", 0, 2, " ", 9)], "frame string, y int, x int, symbol string, fg int")
+    assert frames.buffer_text(cells, "frame", "y", "x", "symbol").first()["line"] == "ab"
+    assert [r["fg"] for r in frames.palette(cells).collect()] == [3]
+    dim, others = spark.createDataFrame([(0.25,)], "score double"), attribution.composite_with(spark.createDataFrame([(1.0,)], "score double"), [])
+    assert attribution.whole_share(dim, others, "coupling_density").first()["responsibility"] == pytest.approx(0.5)
+    assert attribution.whole_share(spark.createDataFrame([(1.0,)], "score double"), others, "coupling_density").count() == 0
