@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schema
@@ -121,10 +123,6 @@ def component_path_order(path: Column) -> Column:
 
 def text_diff(before: Column, after: Column) -> Column:
     """Unified line diff of two texts; empty if they are equal. Arrow batches, for rendered frames and snippets."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), "expected", "actual", lineterm="")) for x, y in zip(a, b)])
