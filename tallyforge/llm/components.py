@@ -37,7 +37,7 @@ def _rank_chains(edges: DataFrame, seed: int, scratch: Scratch) -> DataFrame | N
     if inner.isEmpty():
         return None
     arcs = inner.select(F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("x").alias("n"), F.col("x").alias("pf"), F.col("b").alias("pn")), F.struct(F.col("b").alias("f"), F.col("x").alias("n"), F.col("x").alias("pf"), F.col("a").alias("pn")))).alias("e")).select("e.*")
-    arcs = scratch.save(arcs.withColumn("open", F.lit(True)))
+    arcs = arcs.withColumn("open", F.lit(True))
     while True:
         ahead = arcs.select(F.col("f").alias("pf"), F.col("n").alias("pn"), F.col("pf").alias("qf"), F.col("pn").alias("qn"), F.col("open").alias("more"))
         jumped = arcs.filter("open").join(ahead, ["pf", "pn"], "left").select("f", "n", F.coalesce("qf", "pf").alias("pf"), F.coalesce("qn", "pn").alias("pn"), F.coalesce("more", F.lit(False)).alias("open"))
@@ -71,12 +71,12 @@ def _solve_core(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
-def connected_components(links: DataFrame, a: str, b: str, least_gain: float = 0.05, salts: int = 16) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str, least_gain: float = 0.25, salts: int = 16) -> DataFrame:
     """(node, component): one row for each vertex linked to another; ``component`` is the smallest vertex it reaches.
 
     Rounds of stripping degree-one vertices and compressing degree-two chains (list ranking between rulers) shrink the
     graph until a round removes less than ``least_gain`` of the edges; the core that is left is contracted to stars; the removed
-    vertices then get their labels back, latest first. Every step is a join or a mergeable aggregate over tables in
+    vertices then get their labels back along the pointers to what they were removed for. Every step is a join or a mergeable aggregate over tables in
     the shared folder; links, vertices and labels never come to the driver, and a vertex of any degree is only ever aggregated.
 
     Links with a null end and links of a vertex to itself are ignored; repeated and reversed links count once; an empty table
@@ -115,12 +115,18 @@ def connected_components(links: DataFrame, a: str, b: str, least_gain: float = 0
         labels = links.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
     else:
         labels = _solve_core(edges, scratch)
-    labels = scratch.save(labels)
-    for level in reversed(removed):
+    if removed:
+        # each removed vertex points to one that was removed later or stayed: pointers are doubled until all of them
+        # leave the removed vertices, in as many steps as the number of removals has binary digits
+        up = removed[0]
+        for level in removed[1:]:
+            up = up.unionByName(level)
+        for _ in range(len(removed).bit_length()):
+            ahead = up.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+            up = scratch.save(up.join(ahead, "parent", "left").select("node", F.coalesce("next", "parent").alias("parent")))
         # a parent without a label is itself a root
-        found = level.join(labels.select(F.col("node").alias("parent"), "root"), "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
-        labels = labels.unionByName(scratch.save(found))
-    labels = scratch.save(labels)
+        found = up.join(labels.select(F.col("node").alias("parent"), "root"), "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+        labels = scratch.save(labels.unionByName(found))
     # a root may be larger than a vertex below it: the least of all is taken per root; a root of a third of all vertices
     # is one row here, repeated once per salt, so its vertices spread over the salts
     least = labels.groupBy("root").agg(F.min("node").alias("m")).select("root", F.least("m", "root").alias("component"))
