@@ -63,6 +63,15 @@ SELECT a AS fn_id_a, b AS fn_id_b FROM o JOIN n x ON x.fn_id = a JOIN n y ON y.f
 """
 
 
+P3_GROUPS_SQL = (
+    P3_SQL.replace("WITH f AS", "WITH RECURSIVE f AS").replace("SELECT a AS fn_id_a, b AS fn_id_b", ", p AS (SELECT a, b")
+    + """), e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p),
+r AS (SELECT DISTINCT x AS fn_id, x AS other FROM e UNION SELECT r.fn_id, e.y FROM r JOIN e ON r.other = e.x),
+k AS (SELECT fn_id, min(fn_id) OVER (PARTITION BY s) AS class_id FROM f)
+SELECT fn_id, any_value(class_id) AS class_id, min(other) AS group_id FROM r JOIN k USING (fn_id) GROUP BY fn_id"""
+)
+
+
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each function with at least one partner, its class of equal shapes and the group that near-duplicates bring it together with."""
     found = neardup.near_duplicates(_t(spark, d, "fingerprints"), "fn_id", "shape")
@@ -121,6 +130,13 @@ SELECT fn_id, min(k) - 1 AS span_start, max(k) + 39 AS span_end FROM g GROUP BY
 """
 
 
+P5_SHARES_SQL = (
+    P5_SQL.replace("SELECT fn_id, min(k) - 1 AS span_start, max(k) + 39 AS span_end FROM g GROUP BY fn_id, g", ", sp AS (SELECT fn_id, max(k) + 39 - (min(k) - 1) AS n FROM g GROUP BY fn_id, g)")
+    + """, a AS (SELECT fn_id, any_value(name) AS name, any_value(file) AS file, any_value(len(shape)) AS tokens FROM fingerprints WHERE len(shape) > 0 GROUP BY fn_id)
+SELECT a.fn_id, name, file, tokens, CAST(coalesce(sum(n), 0) AS BIGINT) AS shared FROM a LEFT JOIN sp USING (fn_id) GROUP BY ALL"""
+)
+
+
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     """How much of each function's shape is shared elsewhere, by name and file."""
     f = once(_t(spark, d, "fingerprints").select("fn_id", "name", "file", F.size("shape").cast("bigint").alias("tokens")), "fn_id")
@@ -190,6 +206,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _plan(spark, d)[1].filter("falls_short").select("source")
 
 
+#: Sizes in words: by the tables' definition common tokenizers give the same answer, so plain words must as well.
+P8_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, lower(trim(source)) AS source, len(regexp_extract_all(coalesce(text, ''), '\\w+|[^\\w\\s]')) AS n FROM documents),
+z AS (SELECT source, sum(n) AS size FROM d GROUP BY source),
+t AS (SELECT m.source, target_share, max_repeats, coalesce(size, 0) AS size FROM mix_targets m LEFT JOIN z ON lower(trim(m.source)) = z.source)
+SELECT source FROM t WHERE max_repeats * size < target_share * (SELECT sum(size) FROM t)
+"""
+
+
 def p8_plan(spark: SparkSession, d: str) -> DataFrame:
     return _plan(spark, d)[1]
 
@@ -217,9 +242,12 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2_SQL.format(cols="hotspot_id"),
         "p2_top": P2_SQL.format(cols="file, dimension, responsibility, line, function_name, hotspot_id, position"),
         "p3_found": P3_SQL,
+        "p3_groups": P3_GROUPS_SQL,
         "p4_found": P4_FOUND_SQL,
         "p4_quartiles": P4_QUARTILES_SQL,
         "p5_found": P5_SQL,
+        "p5_shares": P5_SHARES_SQL,
         "p6_found": P6_SQL,
         "p7_found": P7_SQL,
+        "p8_found": P8_SQL,
     }
