@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import color, scores as s, text
-from ..operators import aggregates, attribution, cohorts, coupling, diffs, duplicates, entropy, frames, matching, overlay, rollup, summaries
+from ..operators import aggregates, attribution, cohorts, coupling, diffs, duplicates, entropy, frames, matching, overlay, rollup, sketch, summaries
 from ..operators.delivery import once
 from ..policy import Aggregation, Policy, Strategy
 from ..sources import rust
@@ -235,6 +235,15 @@ def q_moments_merge(spark, d):
     return merged.select("cohort", "value_count", *[f32(c) for c in ("mean", "stddev", "min_raw", "max_raw")])
 
 
+@query()
+def q_sketch_quartiles(spark, d):
+    """Quartiles per label and cohort from mergeable sketches of each month."""
+    obs = once(_t(spark, d, "observations").select("obs_id", "label", "cohort", "raw", F.trunc("run_at", "month").alias("month")), "obs_id")
+    monthly = sketch.sketches(obs, ["month", "label", "cohort"], "raw")
+    whole = sketch.merged(monthly.drop("month"), ["label", "cohort"])
+    return sketch.quantiles(whole, ["label", "cohort"], [0.25, 0.5, 0.75])
+
+
 def _norm(strategy: Strategy, sql: str, name: str) -> None:
     full = f"""WITH {OB1}, {_ST}, th AS (SELECT *, {sql} AS t FROM st WHERE cohort = 'bloat_function'),
 u AS (SELECT CASE WHEN value_count >= {strategy.min_count} AND t > 1e-15 THEN t ELSE log2(45.0) END AS t FROM th)
