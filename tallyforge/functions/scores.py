@@ -44,27 +44,30 @@ def clamp01(x: Column) -> Column:
     return F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
+# The calibrators below stay in 0..1 by themselves, and NaN stays NaN: Spark orders it above every number.
+
+
 def capped_reciprocal(n: Column) -> Column:
-    return clamp01(F.when(n <= 1.0, F.lit(1.0)).otherwise(1.0 / n))
+    return F.when(n <= 1.0, F.lit(1.0)).otherwise(1.0 / n)
 
 
 def exponential_decay(n: Column, half_life: float) -> Column:
     if half_life <= EPSILON:
         return F.lit(0.0)
-    return clamp01(F.exp(F.lit(-LN2) * F.greatest(n, F.lit(0.0)) / half_life))
+    return F.exp(F.lit(-LN2) * F.greatest(n, F.lit(0.0)) / half_life)
 
 
 def linear_decay(n: Column, zero_at: float) -> Column:
     """1 up to n = 1, then straight down to 0 at ``zero_at``; a step if ``zero_at`` is not above 1."""
     if zero_at <= 1.0 + EPSILON:
         return F.when(n <= 1.0, F.lit(1.0)).otherwise(0.0)
-    return clamp01(F.when(n <= 1.0, F.lit(1.0)).otherwise(1.0 - (n - 1.0) / (zero_at - 1.0)))
+    return F.when(n <= 1.0, F.lit(1.0)).otherwise(F.greatest(1.0 - (n - 1.0) / (zero_at - 1.0), F.lit(0.0)))
 
 
 def stretched_decay(n: Column, half_life: float, shape: float) -> Column:
     if half_life <= EPSILON:
         return F.lit(0.0)
-    return clamp01(F.exp(F.lit(-LN2) * F.pow(F.greatest(n, F.lit(0.0)) / half_life, F.lit(float(shape)))))
+    return F.exp(F.lit(-LN2) * F.pow(F.greatest(n, F.lit(0.0)) / half_life, F.lit(float(shape))))
 
 
 def has_loss(score: Column) -> Column:
