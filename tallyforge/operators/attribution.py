@@ -98,15 +98,18 @@ def itemized_heatmap(df: DataFrame, group: Sequence[str], policy: Aggregation, o
     return cf.withColumn("responsibility", gain).filter(F.col("responsibility") >= LOSS_TOLERANCE).drop("cf", "dimension_score", "_others", "_count")
 
 
-def equal_share_heatmap(items: DataFrame, group: Sequence[str], dimension: DataFrame, others: DataFrame, kind: str = "geometric_mean_score", weight: str | None = None) -> DataFrame:
+def equal_share_heatmap(items: DataFrame, group: Sequence[str], dimension: DataFrame, others: DataFrame, kind: str = "geometric_mean_score", weight: str | None = None, least: float | None = None) -> DataFrame:
     """A global dimension's responsibility in equal shares over its violating items; zero shares are kept.
 
-    ``dimension`` has one (group, score) row; ``weight`` names a column for rows that stand for several items.
+    ``dimension`` has one (group, score) row; ``weight`` names a column for rows that stand for several items. Groups
+    whose whole gain is below ``least`` are left out.
     """
     w = F.col(weight) if weight else F.lit(1)
     counts = items.groupBy(*group).agg(F.sum(w).alias("_items"))
     top = dimension.join(others, list(group)).join(counts, list(group)) if group else dimension.crossJoin(others).crossJoin(counts)
     gain = replace_in_composite(F.lit(1.0), kind) - replace_in_composite(F.col("score"), kind)
+    if least is not None:
+        top = top.filter(gain >= least)
     share = top.select(*group, F.when(F.col("_items") > 0, gain / F.col("_items")).otherwise(0.0).alias("_share"))
     out = items.join(share, list(group)) if group else items.crossJoin(F.broadcast(share))
     return out.withColumn("responsibility", F.col("_share") * w).drop("_share")

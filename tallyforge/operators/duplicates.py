@@ -47,9 +47,11 @@ def near_pairs(df: DataFrame, shape: str = "shape", member: str = "fn_id", thres
     return both.select("a", "b", (F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("similarity")).filter(F.col("similarity") > threshold)
 
 
-def duplication_score(df: DataFrame, shape: str = "shape", member: str = "fn_id", least: int = 5) -> DataFrame:
-    """(fingerprinted, exact, near, duplication_score): share of all items that stand in an exact group or a near pair."""
-    near = near_pairs(df, shape, member, least=least).select(F.explode(F.array("a", "b")).alias("m")).distinct().agg(F.count("*").alias("near"))
+def duplication_score(df: DataFrame, shape: str = "shape", member: str = "fn_id", least: int = 5, pairs: DataFrame | None = None) -> DataFrame:
+    """(fingerprinted, exact, near, duplication_score): share of all items that stand in an exact group or a near pair.
+    ``pairs`` is the output of ``near_pairs`` where it is there already."""
+    pairs = near_pairs(df, shape, member, least=least) if pairs is None else pairs
+    near = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct().agg(F.count("*").alias("near"))
     exact = exact_members(df, shape, member, least).agg(F.count("*").alias("exact"))
     total = df.agg(F.count("*").alias("fingerprinted"))
     out = total.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(near))

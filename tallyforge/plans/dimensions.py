@@ -121,39 +121,79 @@ def dimension_scores(observations: DataFrame, policy: Policy, by: Sequence[str]
     return out.join(counts, [*by, "dimension"])
 
 
-def score(observations: DataFrame, policy: Policy, snapshots: DataFrame, duplication: DataFrame | None = None, by: Sequence[str] = ()) -> Scored:
+def score(observations: DataFrame, policy: Policy, snapshots: DataFrame, duplication: DataFrame | None = None, by: Sequence[str] = (), coupling: DataFrame | None = None) -> Scored:
     """Dimension scores and the composite for every snapshot.
 
-    ``snapshots`` has one row per snapshot (the ``by`` columns); ``duplication`` has (by, duplication_score). A dimension without
-    observations scores 1 and still enters the composite.
+    ``snapshots`` has one row per snapshot (the ``by`` columns); ``duplication`` has (by, duplication_score); ``coupling``
+    (``coupling_fallback``) holds for snapshots without coupling observations. A dimension without observations scores 1 and
+    still enters the composite.
     """
     from ..policy import DIMENSIONS
 
     found = dimension_scores(observations, policy, by)
     if duplication is not None:
         found = found.unionByName(duplication.select(*by, F.lit("duplication").alias("dimension"), (1.0 - F.col("duplication_score")).alias("score"), F.lit(0).cast("bigint").alias("item_count")))
+    if coupling is not None:
+        seen = observations.filter(F.col("dimension") == "coupling_density").select(*by)
+        bare = coupling.join(seen, list(by) or F.lit(True), "left_anti")
+        found = found.unionByName(bare.select(*by, "dimension", "score", F.lit(0).cast("bigint").alias("item_count")))
     grid = snapshots.select(*by, F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])).alias("dimension"))
     dims = grid.join(found, [*by, "dimension"], "left").select(*by, "dimension", F.coalesce("score", F.lit(1.0)).alias("score"), F.coalesce("item_count", F.lit(0).cast("bigint")).alias("item_count"))
     comp = dims.groupBy(*by).agg(aggregates.scalarize(F.col("score"), policy.objective_scalarization).alias("score"))
     return Scored(observations, dims, comp)
 
 
-def heatmap(scored: Scored, policy: Policy, by: Sequence[str] = ()) -> DataFrame:
-    """Responsibility of every lossy item in the itemized dimensions, on the composite of its snapshot."""
+def overhead_rows(functions: DataFrame, by: Sequence[str] = (), macros: DataFrame | None = None) -> DataFrame:
+    """(by, file, line, name, detail, scope_path, units): each private function, and one row of so many units for all macros that
+    are not exported. ``macros`` has (by, macros)."""
+    scope = F.col("scope_path") if "scope_path" in functions.columns else F.array().cast("array<struct<kind:string,name:string>>")
+    private = functions.filter(~F.col("is_test") & ~F.col("is_pub"))
+    out = private.select(*by, "file", F.col("line").cast("bigint").alias("line"), "name", F.lit("non-pub overhead fn").alias("detail"), scope.alias("scope_path"), F.lit(1).cast("bigint").alias("units"))
+    if macros is None:
+        return out
+    n = F.col("macros").cast("bigint")
+    none = F.array().cast("array<struct<kind:string,name:string>>")
+    return out.unionByName(macros.filter(n > 0).select(*by, F.lit("<codebase>").alias("file"), F.lit(0).cast("bigint").alias("line"), F.lit("<macro_rules>").alias("name"), F.concat(n.cast("string"), F.lit(" non-exported control-flow macro(s)")).alias("detail"), none.alias("scope_path"), n.alias("units")))
+
+
+def heatmap(scored: Scored, policy: Policy, by: Sequence[str] = (), duplicated: DataFrame | None = None, overhead: DataFrame | None = None) -> DataFrame:
+    """Responsibility of every lossy item in all five dimensions, on the composite of its snapshot.
+
+    State, bloat and coupling are itemized; duplication is shared equally by the rows of ``duplicated`` (``duplication_rows``),
+    economy by the units of ``overhead`` (``overhead_rows``); coupling that has a score but no edges is one ``<codebase>`` row.
+    """
     kind = policy.objective_scalarization
+    cols = (*by, "file", "line", "function_name", "dimension", "responsibility", "detail", "scope_path")
+
+    def others(d: str) -> DataFrame:
+        return attribution.composite_with(scored.dimensions.filter(F.col("dimension") != d), list(by), kind)
+
+    def lossy(d: str) -> DataFrame:
+        return scored.dimensions.filter((F.col("dimension") == d) & s.has_loss(F.col("score")))
+
     out = None
     for d in ("state_cardinality", "bloat", "coupling_density"):
         items = scored.observations.filter(F.col("dimension") == d)
-        others = attribution.composite_with(scored.dimensions.filter(F.col("dimension") != d), list(by), kind)
-        rows = attribution.itemized_heatmap(items, list(by), policy.aggregation(d), others, kind, score="calibrated_score")
-        rows = rows.select(*by, "file", "line", F.col("name").alias("function_name"), "dimension", "responsibility", "detail", "scope_path")
+        rows = attribution.itemized_heatmap(items, list(by), policy.aggregation(d), others(d), kind, score="calibrated_score")
+        rows = rows.withColumnRenamed("name", "function_name").select(*cols)
         out = rows if out is None else out.unionByName(rows)
-    return out
+    if duplicated is not None:
+        rows = attribution.equal_share_heatmap(duplicated.drop("dimension"), list(by), lossy("duplication").select(*by, "score"), others("duplication"), kind)
+        out = out.unionByName(rows.withColumn("dimension", F.lit("duplication")).withColumnRenamed("name", "function_name").select(*cols))
+    if overhead is not None:
+        rows = attribution.equal_share_heatmap(overhead, list(by), lossy("code_economy").select(*by, "score"), others("code_economy"), kind, "units", s.LOSS_TOLERANCE)
+        out = out.unionByName(rows.withColumn("dimension", F.lit("code_economy")).withColumnRenamed("name", "function_name").select(*cols))
+    bare = lossy("coupling_density").filter(F.col("item_count") == 0).select(*by, "score")
+    rows = attribution.whole_share(bare, others("coupling_density"), "coupling_density", list(by), kind)
+    held = bare.withColumnRenamed("score", "_score")
+    rows = rows.join(held, list(by)) if by else rows.crossJoin(F.broadcast(held))
+    rows = rows.withColumn("function_name", F.lit("coupling_density")).withColumn("detail", F.format_string("density %.4f (from saved semantic summary)", 1.0 - F.col("_score"))).withColumn("scope_path", F.array().cast("array<struct<kind:string,name:string>>"))
+    return out.unionByName(rows.select(*cols))
 
 
 def duplication_rows(functions: DataFrame, details: DataFrame, member: str = "fn_id", by: Sequence[str] = ()) -> DataFrame:
     """One row of score 0 for each duplicated function (``duplicates.details``); the dimension's score stays global."""
-    own = functions.join(details, member)
+    own = functions.join(details, [*by, member]).dropDuplicates([*by, member])
     return _rows(own, by, "duplication", "function", None, F.lit(1.0), F.lit(1.0), F.col("detail")).withColumn("calibrated_score", F.lit(0.0))
 
 

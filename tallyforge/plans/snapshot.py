@@ -23,16 +23,18 @@ class Report:
     heatmap: DataFrame
 
 
-def analyze(spark: SparkSession, path: str, policy: Policy = Policy(), semantic: dict[str, DataFrame] | None = None) -> Report:
+def analyze(spark: SparkSession, path: str, policy: Policy = Policy(), semantic: dict[str, DataFrame] | None = None, saved: DataFrame | None = None) -> Report:
     """Parse, summarize, score and attribute one source tree. ``semantic`` (``sources.reports.read_semantic``) adds resolved
-    cardinalities and call edges; without it coupling scores 1 and still enters the composite."""
+    cardinalities and call edges; without edges coupling scores 1 - density of ``saved`` (``coupling.density`` of an earlier
+    run), else 1, and still enters the composite."""
     files = rust.read_files(spark, path)
     source = rust.snapshot(files)
     source.measured = source.measured.persist()
     row = source.macros.first()
     macros, exported = int(row["macros"] or 0), int(row["exported"] or 0)
     fp = source.fingerprints.withColumn("fn_id", F.concat_ws("|", "name", "file", F.col("line").cast("string")))
-    dup = duplicates.duplication_score(fp)
+    near = duplicates.near_pairs(fp).persist()  # read by the score and by the details of the heatmap
+    dup = duplicates.duplication_score(fp, pairs=near)
     summary = summaries.function_summary(source.functions, (), macros, exported).crossJoin(F.broadcast(summaries.type_summary(source.types))).crossJoin(F.broadcast(dup.select("duplication_score")))
     counts = entropy.token_counts(files.join(source.files.filter("error is null").select("path"), "path", "left_semi"), ["path"], "content")
     sem = semantic or {}
@@ -45,8 +47,11 @@ def analyze(spark: SparkSession, path: str, policy: Policy = Policy(), semantic:
     stats = cohorts.cohort_stats(corpus.cohort_feed(source.functions, source.types), ["cohort"], "value")
     # read by every dimension, by the composite and by the heatmap
     obs = dimensions.score_observations(obs, policy, stats).persist()
-    scored = dimensions.score(obs, policy, spark.range(1).select(), dup)
-    scored.dimensions = scored.dimensions.persist()  # five rows, read by the composite and once per itemized dimension
+    one = spark.range(1).select()
+    bare = None if "call_edges" in sem else dimensions.coupling_fallback(saved, one)
+    scored = dimensions.score(obs, policy, one, dup, coupling=bare)
+    scored.dimensions = scored.dimensions.persist()  # five rows, read by the composite and once per dimension of the heatmap
     scored.composite = scored.dimensions.agg(aggregates.scalarize(F.col("score"), policy.objective_scalarization).alias("score"))
-    heat = dimensions.heatmap(scored, policy).persist()
+    duplicated = dimensions.duplication_rows(fp, duplicates.details(duplicates.exact_members(fp), near))
+    heat = dimensions.heatmap(scored, policy, (), duplicated, dimensions.overhead_rows(source.functions, macros=source.macros)).persist()
     return Report(source, summary, entropy.entropy(counts, ["path"]), entropy.entropy(entropy.pooled(counts)), dup, scored, heat)
