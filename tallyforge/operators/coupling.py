@@ -1,19 +1,21 @@
-"""Coupling of modules from an edge list."""
+"""Coupling of modules from an edge list. ``by`` names the columns that tell snapshots apart (none for a single one)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 
-def cross_edges(edges: DataFrame) -> DataFrame:
+def cross_edges(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Distinct directed (caller_module, callee_module) pairs without self edges."""
-    return edges.filter(F.col("caller_module") != F.col("callee_module")).select("caller_module", "callee_module").distinct()
+    return edges.filter(F.col("caller_module") != F.col("callee_module")).select(*by, "caller_module", "callee_module").distinct()
 
 
-def modules(edges: DataFrame) -> DataFrame:
+def modules(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Every module at either end of a cross edge."""
-    e = cross_edges(edges)
-    return e.select(F.explode(F.array("caller_module", "callee_module")).alias("module")).distinct()
+    e = cross_edges(edges, by)
+    return e.select(*by, F.explode(F.array("caller_module", "callee_module")).alias("module")).distinct()
 
 
 def density(edges: DataFrame) -> DataFrame:
@@ -25,20 +27,20 @@ def density(edges: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(m)).withColumn("density", F.when(F.col("modules") > 1, F.col("edges") / possible).otherwise(0.0))
 
 
-def by_module(edges: DataFrame) -> DataFrame:
-    """(module, outgoing) for every module, 0 for those that are only called."""
-    e = cross_edges(edges)
-    out = e.groupBy(F.col("caller_module").alias("module")).agg(F.count("*").alias("outgoing"))
-    return modules(edges).join(out, "module", "left").select("module", F.coalesce("outgoing", F.lit(0).cast("bigint")).alias("outgoing"))
+def by_module(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, module, outgoing) for every module, 0 for those that are only called."""
+    e = cross_edges(edges, by)
+    out = e.groupBy(*by, F.col("caller_module").alias("module")).agg(F.count("*").alias("outgoing"))
+    return modules(edges, by).join(out, [*by, "module"], "left").select(*by, "module", F.coalesce("outgoing", F.lit(0).cast("bigint")).alias("outgoing"))
 
 
-def by_function(edges: DataFrame) -> DataFrame:
-    """(module, function, outgoing): distinct callee modules of each function, and a row without function for modules that
+def by_function(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, module, function, outgoing): distinct callee modules of each function, and a row without function for modules that
     no function row covers. Names are ``module::function``."""
     e = edges.filter((F.col("caller_module") != F.col("callee_module")))
-    rows = e.filter(F.col("caller_function") != "").select("caller_module", "caller_function", "callee_module").distinct()
-    own = rows.groupBy(F.col("caller_module").alias("module"), F.concat_ws("::", "caller_module", "caller_function").alias("name")).agg(F.count("*").alias("outgoing"))
-    rest = by_module(edges).join(own.select("module").distinct(), "module", "left_anti").select("module", F.col("module").alias("name"), F.lit(0).cast("bigint").alias("outgoing"))
+    rows = e.filter(F.col("caller_function") != "").select(*by, "caller_module", "caller_function", "callee_module").distinct()
+    own = rows.groupBy(*by, F.col("caller_module").alias("module"), F.concat_ws("::", "caller_module", "caller_function").alias("name")).agg(F.count("*").alias("outgoing"))
+    rest = by_module(edges, by).join(own.select(*by, "module").distinct(), [*by, "module"], "left_anti").select(*by, "module", F.col("module").alias("name"), F.lit(0).cast("bigint").alias("outgoing"))
     return own.unionByName(rest)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import attribution, cohorts
+from ..operators import aggregates, attribution, cohorts, duplicates
 from ..policy import Policy
 from . import dimensions
 
@@ -26,11 +26,42 @@ def cohort_feed(functions: DataFrame, types: DataFrame | None, by: Sequence[str]
     return out
 
 
-def run(observations: DataFrame, feed: DataFrame, policy: Policy, label: str = "label", top: int = 10) -> tuple[dimensions.Scored, DataFrame]:
-    """Scores of every label against statistics shared by all, and the ``top`` heatmap rows of each label."""
+def run(
+    observations: DataFrame,
+    feed: DataFrame,
+    policy: Policy,
+    label: str = "label",
+    top: int = 10,
+    fingerprints: DataFrame | None = None,
+    edges: DataFrame | None = None,
+    overhead: DataFrame | None = None,
+    saved: DataFrame | None = None,
+) -> tuple[dimensions.Scored, DataFrame]:
+    """Scores of every label in all five dimensions against statistics shared by all, and the ``top`` heatmap rows of each label.
+
+    ``fingerprints`` (label, fn_id, name, file, line, shape) and ``edges`` (label and call edges) give duplication and coupling,
+    both measured inside of each label; ``observations`` holds coupling rows only where ``edges`` is not given. ``overhead`` is
+    ``dimensions.overhead_rows``; ``saved`` (label, density) holds for labels without edges.
+    """
+    by = [label]
     stats = cohorts.cohort_stats(feed, ["cohort"], "value")
-    obs = dimensions.score_observations(observations, policy, stats)
-    snapshots = observations.select(label).distinct()
-    scored = dimensions.score(obs, policy, snapshots, by=[label])
-    heat = dimensions.heatmap(scored, policy, by=[label])
+    labels = observations.select(label)
+    if edges is not None:
+        own = dimensions.coupling_rows(edges, by)
+        observations = observations.unionByName(own.select(*observations.columns))
+        labels = labels.unionByName(edges.select(label))
+    duplication = duplicated = None
+    if fingerprints is not None:
+        labels = labels.unionByName(fingerprints.select(label))
+        pairs = duplicates.near_pairs(fingerprints, by=by)
+        duplication = duplicates.duplication_score(fingerprints, pairs=pairs, by=by)
+        duplicated = dimensions.duplication_rows(fingerprints, duplicates.details(duplicates.exact_members(fingerprints, by=by), pairs, by=by), by=by)
+    # read by every dimension, by the composite and by the heatmap
+    obs = dimensions.score_observations(observations, policy, stats).persist()
+    snapshots = labels.distinct()
+    bare = None if saved is None else dimensions.coupling_fallback(saved, snapshots, by)
+    scored = dimensions.score(obs, policy, snapshots, duplication, by, bare)
+    scored.dimensions = scored.dimensions.persist()  # five rows a label, read by the composite and once per dimension of the heatmap
+    scored.composite = scored.dimensions.groupBy(*by).agg(aggregates.scalarize(F.col("score"), policy.objective_scalarization).alias("score"))
+    heat = dimensions.heatmap(scored, policy, by, duplicated, overhead)
     return scored, attribution.top_per_label(heat, label, top)

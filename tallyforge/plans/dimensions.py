@@ -68,10 +68,8 @@ def economy(functions: DataFrame, by: Sequence[str] = (), macros: int = 0, expor
 
 
 def coupling_rows(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per function or module with its outgoing cross-module edges (single snapshot)."""
-    if by:
-        raise ValueError("coupling is scored one snapshot at a time")
-    own = coupling.by_function(edges)
+    """One row per function or module with its outgoing cross-module edges."""
+    own = coupling.by_function(edges, by)
     return _rows(own, by, "coupling_density", "module", "coupling_module", F.lit(1.0), s.coupling_raw("outgoing"), F.concat(F.col("outgoing").cast("string"), F.lit(" edges")), file=F.lit("<codebase>"))
 
 

@@ -13,7 +13,7 @@ from ..operators.delivery import once
 from ..policy import Aggregation, Policy, Strategy
 from ..sources import rust
 from ..streaming import debounce
-from . import dimensions
+from . import corpus as corpora, dimensions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -605,14 +605,14 @@ def q_dup_score(spark, d):
 # ---- coupling: orders are calls from the customer's nation to the supplier's ----
 
 
-def edges(spark, d) -> DataFrame:
+def edges(spark, d, *by: str) -> DataFrame:
     li, o, c, n, su = (_t(spark, d, x) for x in ("lineitem", "orders", "customer", "nation", "supplier"))
     names = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("m"))
     caller = c.join(names, c.c_nationkey == names.k).select("c_custkey", F.col("m").alias("caller_module"), F.col("c_mktsegment").alias("caller_function"))
     callee = su.join(names, su.s_nationkey == names.k).select("s_suppkey", F.col("m").alias("callee_module"))
-    calls = li.select("l_orderkey", "l_suppkey").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    calls = li.select("l_orderkey", "l_suppkey").join(o.select("o_orderkey", "o_custkey", *by), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey", *by).distinct()
     out = calls.join(caller, F.col("o_custkey") == F.col("c_custkey")).join(callee, F.col("l_suppkey") == F.col("s_suppkey"))
-    return out.select("caller_module", "callee_module", "caller_function", F.concat(F.lit("c"), "o_custkey").alias("caller_file"), F.concat(F.lit("s"), "l_suppkey").alias("callee_file"), (F.col("o_custkey") * 100_000 + F.col("l_suppkey")).alias("caller_line"))
+    return out.select(*by, "caller_module", "callee_module", "caller_function", F.concat(F.lit("c"), "o_custkey").alias("caller_file"), F.concat(F.lit("s"), "l_suppkey").alias("callee_file"), (F.col("o_custkey") * 100_000 + F.col("l_suppkey")).alias("caller_line"))
 
 
 ED = """ed AS (SELECT DISTINCT a.n_name AS caller_module, b.n_name AS callee_module, c_mktsegment AS caller_function, 'c' || o_custkey AS caller_file, 's' || l_suppkey AS callee_file, o_custkey * 100000 + l_suppkey AS seq
@@ -646,6 +646,43 @@ def q_coupling_files(spark, d):
     return coupling.first_file(edges(spark, d), "caller_line")
 
 
+# ---- the corpus run with all five dimensions measured: a fingerprint belongs to the priority of its number modulo 5 ----
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+MEASURED = (
+    DIMS.replace("z AS (SELECT DISTINCT label, unnest(['duplication', 'coupling_density']) AS dimension, 1.0 AS score, CAST(0 AS BIGINT) AS item_count FROM co),\ndm AS (SELECT * FROM g UNION ALL SELECT * FROM e UNION ALL SELECT * FROM z)", "")
+    + f"""fp AS (SELECT fn_id, {_PRIORITIES}[fn_id % 5 + 1] AS label, any_value(shape) AS s FROM fingerprints GROUP BY fn_id), lf AS (SELECT *, len(s) AS n FROM fp WHERE len(s) >= 5),
+ex AS (SELECT label, s, count(*) AS c FROM lf GROUP BY label, s HAVING count(*) > 1), si AS (SELECT lf.* FROM lf ANTI JOIN ex USING (label, s)),
+tr AS (SELECT DISTINCT label, fn_id, n, s[k] || '/' || s[k + 1] || '/' || s[k + 2] AS r FROM (SELECT *, unnest(range(1, n - 1)) AS k FROM si)), tn AS (SELECT fn_id, count(*) AS m FROM tr GROUP BY 1),
+oo AS (SELECT x.label, x.fn_id AS a, y.fn_id AS b, count(*) AS o FROM tr x JOIN tr y ON x.label = y.label AND x.r = y.r AND x.fn_id < y.fn_id AND least(x.n, y.n) >= 0.5 * greatest(x.n, y.n) GROUP BY 1, 2, 3),
+np AS (SELECT label, a, b FROM oo JOIN tn x ON x.fn_id = a JOIN tn y ON y.fn_id = b WHERE CAST(o AS DOUBLE) / (x.m + y.m - o) > 0.8),
+dn AS (SELECT label, count(*) AS k FROM (SELECT label, a FROM np UNION SELECT label, b FROM np) GROUP BY 1), de AS (SELECT label, sum(c) AS k FROM ex GROUP BY 1),
+du AS (SELECT label, 'duplication' AS dimension, 1 - (coalesce(any_value(de.k), 0) + coalesce(any_value(dn.k), 0)) / count(*) AS score, CAST(0 AS BIGINT) AS item_count FROM fp LEFT JOIN de USING (label) LEFT JOIN dn USING (label) GROUP BY 1),
+ed AS (SELECT DISTINCT o_orderpriority AS label, a.n_name AS x, b.n_name AS y, c_mktsegment AS f
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_name <> b.n_name),
+cf AS (SELECT label, x, f, count(DISTINCT y) AS k FROM ed GROUP BY 1, 2, 3),
+cr AS (SELECT label, k FROM cf UNION ALL SELECT label, 0 FROM (SELECT label, y AS x FROM ed EXCEPT SELECT label, x FROM cf)),
+cd AS (SELECT label, 'coupling_density' AS dimension, exp(-ln(2.0) * avg(k) / 3) AS score, count(*) AS item_count FROM cr GROUP BY 1),
+dm AS (SELECT * FROM g UNION ALL SELECT * FROM e UNION ALL SELECT * FROM du UNION ALL SELECT * FROM cd)"""
+)
+
+
+def corpus_run(spark, d, top: int = 10) -> tuple[dimensions.Scored, DataFrame]:
+    fn, by = corpus(spark, d), ["label"]
+    obs = dimensions.bloat(fn, by).unionByName(dimensions.state_functions(fn, by)).unionByName(dimensions.economy(fn, by))
+    fp = once(_t(spark, d, "fingerprints").select("fn_id", "name", "file", "line", "shape", "scope_path"), "fn_id")
+    fp = fp.withColumn("label", F.element_at(F.array(*[F.lit(x) for x in _PRIORITIES]), (F.col("fn_id") % 5 + 1).cast("int")))
+    calls = edges(spark, d, "o_orderpriority").withColumnRenamed("o_orderpriority", "label")
+    return corpora.run(obs, corpora.cohort_feed(fn, None, by), Policy(), top=top, fingerprints=fp, edges=calls, overhead=dimensions.overhead_rows(fn, by))
+
+
+@query(f"WITH {MEASURED} SELECT label, dimension, round(score, 6) AS score, item_count FROM dm UNION ALL SELECT label, 'composite', round(CASE WHEN min(score) <= 0 THEN 0.0 ELSE exp(avg(ln(score))) END, 6), 5 FROM dm GROUP BY label")
+def q_corpus_run(spark, d):
+    sc, _ = corpus_run(spark, d)
+    whole = sc.composite.select("label", F.lit("composite").alias("dimension"), "score", F.lit(5).cast("bigint").alias("item_count"))
+    return sc.dimensions.unionByName(whole).select("label", "dimension", r6("score"), "item_count")
+
+
 # ---- overlay lookup ----
 
 

@@ -1,6 +1,8 @@
 import pytest
 
-from tallyforge.plans import snapshot
+from tallyforge.operators import duplicates
+from tallyforge.plans import corpus, dimensions, snapshot
+from tallyforge.policy import Policy
 
 
 def _mean(dims, **other):
@@ -27,3 +29,24 @@ def test_all_five_dimensions_are_attributed(spark, tmp_path):
     assert of("code_economy") == {"one": pytest.approx(share), "two": pytest.approx(share), "<macro_rules>": pytest.approx(2 * share)}
     assert of("coupling_density") == {"coupling_density": pytest.approx(_mean(dims, coupling_density=1.0) - here)}
     assert {r["file"] for r in heat if r["line"] == 0} == {"<codebase>"} and all(r["detail"] for r in heat)
+
+
+def test_corpus_run_measures_duplication_and_coupling_by_label(spark):
+    long = [f"t{i % 9}" for i in range(40)]
+    near = [*[f"u{i}" for i in range(40)]]
+    shapes = [("a", 1, long), ("a", 2, long), ("a", 3, near), ("b", 4, long), ("b", 5, [*near[:39], "q"]), ("b", 6, ["x"] * 7), ("c", 7, near), ("c", 8, [*near[:39], "q"])]
+    fp = spark.createDataFrame([(x, i, f"f{i}", f"{x}.rs", i, s) for x, i, s in shapes], "label string, fn_id long, name string, file string, line long, shape array<string>")
+    got = {r["label"]: (r["fingerprinted"], r["exact"], r["near"]) for r in duplicates.duplication_score(fp, by=["label"]).collect()}
+    assert got == {"a": (3, 2, 0), "b": (3, 0, 0), "c": (2, 0, 2)}
+    fn = spark.createDataFrame([(x, f"f{i}", f"{x}.rs", i, 60, False, i % 2 == 0) for x, i, _ in shapes], "label string, name string, file string, line long, lines long, is_test boolean, is_pub boolean")
+    edges = spark.createDataFrame([("a", "m", "n", "f1"), ("a", "m", "o", "f1"), ("c", "m", "m", "f7")], "label string, caller_module string, callee_module string, caller_function string")
+    saved = spark.createDataFrame([("b", 0.25)], "label string, density double")
+    obs = dimensions.bloat(fn, ["label"]).unionByName(dimensions.economy(fn, ["label"]))
+    feed = fn.selectExpr("label", "'bloat_function' AS cohort", "CAST(lines AS DOUBLE) AS value")
+    scored, heat = corpus.run(obs, feed, Policy(), fingerprints=fp, edges=edges, overhead=dimensions.overhead_rows(fn, ["label"]), saved=saved)
+    dims = {(r["label"], r["dimension"]): r["score"] for r in scored.dimensions.collect()}
+    assert [dims[x, "duplication"] for x in "abc"] == [pytest.approx(1 / 3), 1.0, 0.0]
+    assert [dims[x, "coupling_density"] for x in "abc"] == [pytest.approx(2 ** (-2 / 9)), 0.75, 1.0]
+    rows = heat.collect()
+    assert {(r["label"], r["function_name"]) for r in rows if r["dimension"] == "duplication"} == {("a", "f1"), ("a", "f2"), ("c", "f7"), ("c", "f8")}
+    assert {(r["label"], r["function_name"]) for r in rows if r["dimension"] == "coupling_density"} == {("a", "m::f1"), ("b", "coupling_density")}
