@@ -267,6 +267,35 @@ _norm(Strategy("cohort_median_iqr", iqr_multiplier=1.0), "q50 + (q75 - q25) / 1.
 _norm(Strategy("cohort_mean", min_count=1_000_000_000), "mean", "q_norm_fallback")
 
 
+_TARGETS = {"code_economy": "log2(5.0)", "state_cardinality_type": "4.0", "state_cardinality_function": "4.0", "bloat_function": "log2(45.0)", "coupling_module": "3.0"}
+
+
+def _norm_all(strategy: Strategy, sql: str, name: str) -> None:
+    """A strategy over all five cohorts, through the scorer of the plans; in ``sql`` g is the cohort's target."""
+    full = f"""WITH {OB1}, {_ST}, tg AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {x})" for c, x in _TARGETS.items())}) v(cohort, g)),
+u AS (SELECT cohort, g, CASE WHEN value_count >= {strategy.min_count} AND t > 1e-15 THEN t ELSE g END AS t FROM (SELECT cohort, g, value_count, {sql} AS t FROM st JOIN tg USING (cohort))),
+n AS (SELECT obs_id, cohort, raw / t AS n FROM ob1 JOIN u USING (cohort) WHERE isfinite(raw))
+SELECT obs_id, cohort, CAST(CAST(n AS FLOAT) AS DOUBLE) AS normalized,
+round(exp(-ln(2.0) * pow(greatest(n, 0.0), CASE WHEN cohort = 'bloat_function' THEN 3 WHEN cohort LIKE 'state_cardinality%' THEN 2 ELSE 1 END)), 6) AS calibrated_score FROM n"""
+
+    def run(spark, d):
+        obs = observations(spark, d).filter(cohorts.finite(F.col("raw")) & F.col("cohort").isin(*_TARGETS)).select("obs_id", "cohort", "raw")
+        st = cohorts.cohort_stats(obs, ["cohort"], "raw")
+        out = dimensions.score_observations(obs, Policy(normalization={c: strategy for c in _TARGETS}), st)
+        return out.select("obs_id", "cohort", f32("normalized"), r6("calibrated_score"))
+
+    query(full, name)(run)
+
+
+_norm_all(Strategy("use_target_threshold"), "g", "q_norm_all_target")
+_norm_all(Strategy("scaled_target_threshold", multiplier=2.0), "2 * g", "q_norm_all_scaled")
+_norm_all(Strategy("cohort_mean", multiplier=1.5), "mean * 1.5", "q_norm_all_mean")
+_norm_all(Strategy("cohort_mean_stddev", stddev_multiplier=2.0), "mean + stddev * 2.0", "q_norm_all_mean_sd")
+_norm_all(Strategy("cohort_upper_quartile"), "q75", "q_norm_all_q75")
+_norm_all(Strategy("cohort_median_iqr", iqr_multiplier=1.0), "q50 + (q75 - q25) / 1.349", "q_norm_all_median_iqr")
+_norm_all(Strategy("cohort_mean", min_count=1_000_000_000), "mean", "q_norm_all_fallback")
+
+
 # ---- dimensions, composite and corpus: order priorities stand for corpus members ----
 
 

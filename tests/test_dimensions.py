@@ -1,7 +1,10 @@
+import math
+
 import pytest
 
 from tallyforge.operators import duplicates
 from tallyforge.plans import corpus, dimensions, snapshot
+from tallyforge.plans.queries import QUERIES
 from tallyforge.policy import Policy
 
 
@@ -50,3 +53,17 @@ def test_corpus_run_measures_duplication_and_coupling_by_label(spark):
     rows = heat.collect()
     assert {(r["label"], r["function_name"]) for r in rows if r["dimension"] == "duplication"} == {("a", "f1"), ("a", "f2"), ("c", "f7"), ("c", "f8")}
     assert {(r["label"], r["function_name"]) for r in rows if r["dimension"] == "coupling_density"} == {("a", "m::f1"), ("b", "coupling_density")}
+
+
+def test_normalization_queries_take_all_five_cohorts(spark, tmp_path):
+    targets = {"code_economy": 5, "state_cardinality_type": 4, "state_cardinality_function": 4, "bloat_function": 45, "coupling_module": 3}
+    rows = [(10 * i + j, c, float(x)) for i, c in enumerate(targets) for j, x in enumerate((1, 2, 3, 4, 10 * (i + 1)))]
+    rows += [(99, "other", 1.0), (98, "bloat_function", float("nan"))]
+    cols = "'l' AS label, 'd' AS dimension, 'k' AS kind, 'f' AS file, 1L AS line, 'n' AS name, 1.0D AS size_hint, 0.0D AS normalized, 0.0D AS calibrated_score, '' AS detail"
+    df = spark.createDataFrame(rows, "obs_id long, cohort string, raw double").selectExpr("*", *cols.split(", ")).selectExpr("*", "CAST(array() AS array<struct<kind:string,name:string>>) AS scope_path")
+    df.write.parquet(str(tmp_path / "observations.parquet"))
+    got = {r["obs_id"]: r["normalized"] for r in QUERIES["q_norm_all_mean"](spark, str(tmp_path)).collect()}
+    assert got == {n: pytest.approx(x / (1.5 * (10 + 10 * (n // 10 + 1)) / 5), rel=1e-6) for n, _, x in rows[:-2]}
+    got = {r["obs_id"]: r["normalized"] for r in QUERIES["q_norm_all_fallback"](spark, str(tmp_path)).collect()}
+    own = [math.log2(5), 4.0, 4.0, math.log2(45), 3.0]
+    assert got == {n: pytest.approx(x / own[n // 10], rel=1e-6) for n, _, x in rows[:-2]}
