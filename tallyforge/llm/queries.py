@@ -232,8 +232,25 @@ def p9_pages(spark: SparkSession, d: str) -> DataFrame:
     return stuffed.page_evidence(_t(spark, d, "documents"))
 
 
+def p9_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed.phrase_replication(_t(spark, d, "documents"))
+
+
+#: Of every four consecutive five-word phrases the one whose first word is least (the last of equal ones).
+P9_PHRASES_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, coalesce(label, '') AS host, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+s AS (SELECT *, len(w) - 4 AS m FROM d),
+o AS (SELECT doc_id, host, w, k, w[k:least(k + 3, m)] AS f FROM (SELECT *, unnest(range(1, greatest(1, m - 3) + 1)) AS k FROM s WHERE m > 0)),
+c AS (SELECT DISTINCT doc_id, host, w, k + len(f) - list_position(list_reverse(f), list_min(f)) AS b FROM o),
+p AS (SELECT DISTINCT doc_id, host, array_to_string(w[b:b + 4], ' ') AS p FROM c),
+r AS (SELECT p FROM p GROUP BY p HAVING count(DISTINCT host) > 1),
+n AS (SELECT doc_id, count(*) AS phrases, count(r.p) AS replicated FROM p LEFT JOIN r USING (p) GROUP BY doc_id)
+SELECT DISTINCT doc_id, coalesce(phrases, 0) AS phrases, coalesce(replicated, 0) AS replicated FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix, "p9_found": p9_found, "p9_pages": p9_pages}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_quartiles": p4_quartiles, "p5_found": p5_found, "p5_shares": p5_shares, "p6_found": p6_found, "p6_ranking": p6_ranking, "p7_found": p7_found, "p8_found": p8_found, "p8_plan": p8_plan, "p8_mix": p8_mix, "p9_found": p9_found, "p9_pages": p9_pages, "p9_phrases": p9_phrases}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -250,4 +267,5 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": P6_SQL,
         "p7_found": P7_SQL,
         "p8_found": P8_SQL,
+        "p9_phrases": P9_PHRASES_SQL,
     }
