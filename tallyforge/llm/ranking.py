@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..session import Scratch, shared_folder
 
@@ -31,56 +33,109 @@ def numbered(df: DataFrame, by: Sequence[F.Column | str], name: str, scratch: Sc
     return out.select(*df.columns, name)
 
 
-def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Sequence[str], damping: float = 0.5, tolerance: float = 1e-6, most_steps: int = 200) -> DataFrame:
+#: Weights are compared in units of 1/n after rounding to so many decimals, as the sums come in any order.
+DECIMALS = 9
+
+
+def _units(cells: DataFrame) -> pd.DataFrame:
+    """One row per (score, block): its levels and rows, the values at its ends, and where a level that began earlier began.
+
+    There are at most as many units as partitions and scores together; only they come to the driver.
+    """
+    levels = cells.groupBy("score", "block", "r").agg(F.first("v").alias("v"), F.count("*").alias("c"))
+    one = F.max(F.struct("r", "v", "c")).alias("top")
+    u = levels.groupBy("score", "block").agg(F.sum("c").alias("n"), F.min(F.struct("r", "v", "c")).alias("low"), one)
+    u = u.select("score", "block", "n", F.col("low.v").alias("v_low"), F.col("low.c").alias("c_low"), F.col("top.r").alias("last"), F.col("top.v").alias("v_top"), F.col("top.c").alias("c_top"))
+    u = u.toPandas().sort_values(["score", "block"], ignore_index=True)
+    began: dict[tuple, int] = {}
+    size: dict[tuple, int] = {}
+    head = []
+    for i, x in enumerate(u.itertuples(index=False)):
+        low, top = (x.score, x.v_low), (x.score, x.v_top)
+        head.append(began.get(low, -1))
+        began.setdefault(top, i)
+        size[low] = size.get(low, 0) + x.c_low
+        if x.last > 1:
+            size[top] = size.get(top, 0) + x.c_top
+    u["head"] = head  # the unit in which the lowest level began, -1 if it begins here
+    u["low_size"] = [size[k] for k in zip(u.score, u.v_low)]
+    u["top_size"] = [size[k] for k in zip(u.score, u.v_top)]
+    return u
+
+
+def _below(u: pd.DataFrame, total: np.ndarray, under_top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each unit: what lies below it, and what lies below its lowest level; ``under_top`` is what a unit holds below its highest."""
+    before = np.cumsum(total) - total
+    first = np.r_[True, u.score.to_numpy()[1:] != u.score.to_numpy()[:-1]] if len(u) else np.empty(0, bool)
+    off = before - before[np.maximum.accumulate(np.where(first, np.arange(len(u)), 0))] if len(u) else before
+    head = u["head"].to_numpy()
+    return off, np.where(head >= 0, off[head] + under_top[head], off)
+
+
+def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Sequence[str], damping: float = 0.5, tolerance: float = 1e-8, most_steps: int = 200) -> DataFrame:
     """(item, weight, position): all items that have every score of ``names``, best first; higher values are better.
 
     The walk: from an item pick one of the scores and then any item; jump there if it stands higher in that score, else
     stay; with probability ``1 - damping`` start anew anywhere. Only the order within a score counts, whatever its range, and
-    all scores weigh the same. One step moves to each item the mass of all lower ones: a prefix sum over the levels
-    (distinct values) of each score. Levels are range-partitioned; a step sums the mass per level before the shuffle, then
-    per block of levels, then inside the blocks, so neither a score's whole column nor a value that most items share is
-    ever in one task. Steps repeat until the distribution moves by less than ``tolerance`` in total.
+    all scores weigh the same. One step moves to each item the mass of all lower ones: a prefix sum over each sorted score.
+
+    The scores are sorted once, into blocks of equal numbers of rows; an item keeps its places. A step sends (place, mass) to
+    the blocks, sums inside them, adds what lies in the blocks below, and sends the sums back to the items: two shuffles. The totals
+    of the blocks, one row each, are added up on the driver. A value that most items share spreads over as many
+    blocks as it needs, so neither it nor a score's whole column is ever in one task. Steps repeat until no item's weight moves by more than
+    ``tolerance / n``; if ``most_steps`` do not suffice, that is an error.
 
     Null and NaN values are missing; infinite values rank as such; items with a missing score are left out; equal values
     stand level; a repeated (item, score) row counts once (the largest value if they differ); scores outside ``names`` are
-    ignored; an empty table gives an empty result. Items of equal weight are placed by their id.
+    ignored; an empty table gives an empty result. Weights that agree to nine digits are equal; such items are placed by their id.
     """
     spark = scores.sparkSession
     scratch = Scratch(spark)
     m = len(names)
     rows = scores.filter(F.col(item).isNotNull() & F.col(score).isin(list(names)) & F.col(value).isNotNull() & ~F.isnan(value))
     rows = rows.groupBy(F.col(item).alias("item"), F.col(score).alias("score")).agg((F.max(F.col(value).cast("double")) + F.lit(0.0)).alias("v"))
-    complete = rows.groupBy("item").agg(F.count("*").alias("c"), F.collect_list(F.struct("score", "v")).alias("vs")).filter(F.col("c") == m)
+    number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("score")).cast("int")
+    complete = rows.groupBy("item").agg(F.count("*").alias("c"), F.collect_list(F.struct(number.alias("score"), "v")).alias("vs")).filter(F.col("c") == m)
     wide = scratch.save(complete.select("item", "vs"))
     n = wide.count()
     kind = wide.schema["item"].dataType.simpleString()
     if not n:
         return spark.createDataFrame([], f"item {kind}, weight double, position bigint").withColumnRenamed("item", item)
 
-    long = wide.select("item", F.explode("vs").alias("s")).select("item", "s.score", "s.v")
-    levels = in_order(long.groupBy("score", "v").agg(F.count("*").alias("c")), ["score", "v"])
-    levels = scratch.save(levels)
-    by_block = Window.partitionBy("score").orderBy("block")
-    inside = Window.partitionBy("score", "block").orderBy("place")
+    placed = in_order(wide.select("item", F.explode("vs").alias("s")).select("item", "s.score", "s.v"), ["score", "v", "item"])
+    unit = Window.partitionBy("score", "block").orderBy("v")
+    cells = scratch.save(placed.select("item", "score", "v", "block", F.dense_rank().over(unit).alias("r"), F.count("*").over(unit).alias("upto")))
+    u = _units(cells)
+    keys = u[["score", "block"]].astype("int32")
 
-    def below(df: DataFrame, c: str) -> DataFrame:
-        """Sums of ``c`` over all lower levels, by blocks."""
-        blocks = df.groupBy("score", "block").agg(F.sum(c).alias("t")).select("score", "block", (F.sum("t").over(by_block) - F.col("t")).alias("off"))
-        return df.join(blocks, ["score", "block"]).withColumn("under", F.col("off") + F.sum(c).over(inside) - F.col(c)).drop("off")
+    def known(**columns: np.ndarray) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(keys.assign(**columns)))
 
-    placed = below(levels, "c").select("score", "v", "block", "place", (F.col("c") + F.col("under")).alias("not_above"))
-    placed = long.join(placed, ["score", "v"]).groupBy("item").agg(F.collect_list(F.struct("score", "block", "place", "not_above")).alias("at"))
-    walk = scratch.save(placed.select("item", F.lit(1.0 / n).alias("p"), F.lit(1.0).alias("moved"), "at"))
+    count, top = u["n"].to_numpy(), u["c_top"].to_numpy()
+    off, low = _below(u, count, count - top)
+    # rows at or below a level: those of a level at the end of a unit may stand in other units, too
+    ends = known(last=u["last"].to_numpy(), off=off, at_low=low + u["low_size"].to_numpy(), at_top=np.where(u["last"] > 1, off + count - top, low) + u["top_size"].to_numpy())
+    level = F.when(F.col("r") == 1, F.col("at_low")).when(F.col("r") == F.col("last"), F.col("at_top")).otherwise(F.col("off") + F.col("upto"))
+    at = F.collect_list(F.struct("score", "block", "r", (F.col("r") < F.col("last")).alias("inner"), level.alias("not_above")))
+    walk = scratch.save(cells.join(ends, ["score", "block"]).groupBy("item").agg(at.alias("at")).select("item", F.lit(1.0 / n).alias("p"), "at"))
     for _ in range(most_steps):
-        out = walk.select("item", "p", F.explode("at").alias("l")).select("item", "p", "l", F.col("l.score").alias("score"), F.col("l.block").alias("block"), F.col("l.place").alias("place"))
-        under = below(out.groupBy("score", "block", "place").agg(F.sum("p").alias("mass")), "mass").select("score", "block", "place", "under")
-        met = out.join(under, ["score", "block", "place"])
-        step = met.groupBy("item").agg(F.first("p").alias("was"), F.sum(F.col("under") + F.col("p") * F.col("l.not_above")).alias("q"), F.collect_list("l").alias("at"))
-        p = F.lit((1 - damping) / n) + F.col("q") * F.lit(damping / (n * m))
-        nxt = scratch.save(step.select("item", p.alias("p"), F.abs(p - F.col("was")).alias("moved"), "at"))
+        out = walk.select("item", "p", F.explode("at").alias("l")).select("item", "p", "l", "l.score", "l.block", "l.r")
+        sums = out.groupBy("score", "block").agg(F.sum("p").alias("t"), F.sum(F.when(F.col("l.inner"), F.col("p")).otherwise(0.0)).alias("i")).toPandas()
+        sums = keys.merge(sums, on=["score", "block"], how="left")
+        off, low = _below(u, sums["t"].to_numpy(), sums["i"].to_numpy())
+        inside = Window.partitionBy("score", "block").orderBy("r").rangeBetween(Window.unboundedPreceding, -1)
+        met = out.withColumn("inside", F.sum("p").over(inside)).join(known(off=off, low=low), ["score", "block"])
+        under = F.when(F.col("r") == 1, F.col("low")).otherwise(F.col("off") + F.col("inside"))
+        step = met.groupBy("item").agg(F.first("p").alias("was"), F.sum(under + F.col("p") * F.col("l.not_above")).alias("q"), F.collect_list("l").alias("at"))
+        step = step.withColumn("p", F.lit((1 - damping) / n) + F.col("q") * F.lit(damping / (n * m)))
+        seen = Observation()
+        nxt = scratch.save(step.observe(seen, F.max(F.abs(F.col("p") - F.col("was"))).alias("moved")).select("item", "p", "at"))
         scratch.free(walk)
         walk = nxt
-        if walk.agg(F.sum("moved")).first()[0] < tolerance:
+        if seen.get["moved"] * n < tolerance:
             break
-    ranked = numbered(walk.select("item", F.col("p").alias("weight")), [-F.col("weight"), "item"], "position", scratch)
+    else:
+        raise RuntimeError(f"the walk did not settle in {most_steps} steps")
+    weight = F.round(F.col("p") * F.lit(float(n)), DECIMALS)
+    ranked = numbered(walk.select("item", (weight / F.lit(float(n))).alias("weight")), [-F.col("weight"), "item"], "position", scratch)
     return ranked.select(F.col("item").alias(item), "weight", "position")
