@@ -96,46 +96,51 @@ def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Seque
     rows = rows.groupBy(F.col(item).alias("item"), F.col(score).alias("score")).agg((F.max(F.col(value).cast("double")) + F.lit(0.0)).alias("v"))
     number = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("score")).cast("int")
     complete = rows.groupBy("item").agg(F.count("*").alias("c"), F.collect_list(F.struct(number.alias("score"), "v")).alias("vs")).filter(F.col("c") == m)
-    wide = scratch.save(complete.select("item", "vs"))
+    # items travel as numbers, given once and written
+    wide = scratch.save(complete.select("item", F.monotonically_increasing_id().alias("i"), "vs"))
     n = wide.count()
     kind = wide.schema["item"].dataType.simpleString()
     if not n:
         return spark.createDataFrame([], f"item {kind}, weight double, position bigint").withColumnRenamed("item", item)
 
-    placed = in_order(wide.select("item", F.explode("vs").alias("s")).select("item", "s.score", "s.v"), ["score", "v", "item"])
+    placed = in_order(wide.select("i", F.explode("vs").alias("s")).select("i", "s.score", "s.v"), ["score", "v", "i"])
     unit = Window.partitionBy("score", "block").orderBy("v")
-    cells = scratch.save(placed.select("item", "score", "v", "block", F.dense_rank().over(unit).alias("r"), F.count("*").over(unit).alias("upto")))
+    cells = scratch.save(placed.select("i", "score", "v", "block", F.dense_rank().over(unit).alias("r"), F.count("*").over(unit).alias("upto")))
     u = _units(cells)
-    keys = u[["score", "block"]].astype("int32")
+    number = np.arange(len(u), dtype=np.int64)
 
     def known(**columns: np.ndarray) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(keys.assign(**columns)))
+        return F.broadcast(spark.createDataFrame(pd.DataFrame({"u": number, **columns})))
 
     count, top = u["n"].to_numpy(), u["c_top"].to_numpy()
     off, low = _below(u, count, count - top)
     # rows at or below a level: those of a level at the end of a unit may stand in other units, too
-    ends = known(last=u["last"].to_numpy(), off=off, at_low=low + u["low_size"].to_numpy(), at_top=np.where(u["last"] > 1, off + count - top, low) + u["top_size"].to_numpy())
+    ends = known(score=u["score"].to_numpy(), block=u["block"].to_numpy(), last=u["last"].to_numpy(), off=off, at_low=low + u["low_size"].to_numpy(), at_top=np.where(u["last"] > 1, off + count - top, low) + u["top_size"].to_numpy())
     level = F.when(F.col("r") == 1, F.col("at_low")).when(F.col("r") == F.col("last"), F.col("at_top")).otherwise(F.col("off") + F.col("upto"))
-    at = F.collect_list(F.struct("score", "block", "r", (F.col("r") < F.col("last")).alias("inner"), level.alias("not_above")))
-    walk = scratch.save(cells.join(ends, ["score", "block"]).groupBy("item").agg(at.alias("at")).select("item", F.lit(1.0 / n).alias("p"), "at"))
+    # a place is one number: unit, level, and whether the level is below the unit's highest
+    place = F.call_function("shiftleft", F.col("u"), F.lit(40)) + F.col("r") * 2 + (F.col("r") < F.col("last")).cast("bigint")
+    walk = cells.join(ends, ["score", "block"]).groupBy("i").agg(F.collect_list(place).alias("at"), F.sum(level).alias("not_above"))
+    walk = scratch.save(walk.select("i", F.lit(1.0 / n).alias("p"), "not_above", "at"))
     for _ in range(most_steps):
-        out = walk.select("item", "p", F.explode("at").alias("l")).select("item", "p", "l", "l.score", "l.block", "l.r")
-        sums = out.groupBy("score", "block").agg(F.sum("p").alias("t"), F.sum(F.when(F.col("l.inner"), F.col("p")).otherwise(0.0)).alias("i")).toPandas()
-        sums = keys.merge(sums, on=["score", "block"], how="left")
-        off, low = _below(u, sums["t"].to_numpy(), sums["i"].to_numpy())
-        inside = Window.partitionBy("score", "block").orderBy("r").rangeBetween(Window.unboundedPreceding, -1)
-        met = out.withColumn("inside", F.sum("p").over(inside)).join(known(off=off, low=low), ["score", "block"])
-        under = F.when(F.col("r") == 1, F.col("low")).otherwise(F.col("off") + F.col("inside"))
-        step = met.groupBy("item").agg(F.first("p").alias("was"), F.sum(under + F.col("p") * F.col("l.not_above")).alias("q"), F.collect_list("l").alias("at"))
-        step = step.withColumn("p", F.lit((1 - damping) / n) + F.col("q") * F.lit(damping / (n * m)))
+        out = walk.select("i", "p", F.explode("at").alias("c"))
+        sums = out.groupBy(F.shiftright("c", 40).alias("u")).agg(F.sum("p").alias("t"), F.sum(F.when(F.col("c") % 2 == 1, F.col("p")).otherwise(0.0)).alias("inner")).toPandas()
+        sums = sums.set_index("u").reindex(number)
+        off, low = _below(u, sums["t"].to_numpy(), sums["inner"].to_numpy())
+        cell = out.select("i", "p", F.shiftright("c", 40).alias("u"), F.shiftright(F.col("c").bitwiseAND((1 << 40) - 1), 1).alias("r"))
+        inside = F.sum("p").over(Window.partitionBy("u").orderBy("r").rangeBetween(Window.unboundedPreceding, -1))
+        met = cell.select("i", "u", "r", inside.alias("inside")).join(known(off=off, low=low), "u")
+        under = met.groupBy("i").agg(F.sum(F.when(F.col("r") == 1, F.col("low")).otherwise(F.col("off") + F.col("inside"))).alias("q"))
+        p = F.lit((1 - damping) / n) + (F.col("q") + F.col("p") * F.col("not_above")) * F.lit(damping / (n * m))
+        step = walk.join(under, "i").select("i", F.col("p").alias("was"), p.alias("p"), "not_above", "at")
         seen = Observation()
-        nxt = scratch.save(step.observe(seen, F.max(F.abs(F.col("p") - F.col("was"))).alias("moved")).select("item", "p", "at"))
+        nxt = scratch.save(step.observe(seen, F.max(F.abs(F.col("p") - F.col("was"))).alias("moved")).drop("was"))
         scratch.free(walk)
         walk = nxt
         if seen.get["moved"] * n < tolerance:
             break
     else:
         raise RuntimeError(f"the walk did not settle in {most_steps} steps")
+    walk = walk.select("i", "p").join(wide.select("i", "item"), "i")
     weight = F.round(F.col("p") * F.lit(float(n)), DECIMALS)
     ranked = numbered(walk.select("item", (weight / F.lit(float(n))).alias("weight")), [-F.col("weight"), "item"], "position", scratch)
     return ranked.select(F.col("item").alias(item), "weight", "position")
