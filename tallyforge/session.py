@@ -44,13 +44,22 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, and they survive the loss of any executor."""
+    """Tables written to the shared folder: they cut lineage, and they survive the loss of any executor.
+
+    Results are lazy and may read them long after an operator returned, so they stay until ``close`` or until the application ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
         self._serial = 0
         self._paths: dict[int, str] = {}
+        p, fs = self._at(self.root)
+        fs.deleteOnExit(p)
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and return it as read back."""
@@ -63,9 +72,14 @@ class Scratch:
 
     def free(self, *frames: DataFrame | None) -> None:
         """Delete tables of this scratch that nothing reads any more."""
-        jvm = self.spark._jvm
         for f in frames:
             path = self._paths.pop(id(f), None) if f is not None else None
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                p, fs = self._at(path)
+                fs.delete(p, True)
+
+    def close(self) -> None:
+        """Delete all tables of this scratch."""
+        self._paths.clear()
+        p, fs = self._at(self.root)
+        fs.delete(p, True)
