@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.internal import InternalFunction
 
 from ..session import Scratch
@@ -15,6 +15,18 @@ def _usable(c: str, kind: str) -> Column:
     return ok & ~F.isnan(c) if kind in ("double", "float") else ok
 
 
+def _falling(c: Column, kind: str) -> Column:
+    """``c`` in its own type, turned so that ascending order is falling: no value is rounded or overflows. Its own inverse."""
+    return F.bitwise_not(c) if kind in ("bigint", "int", "smallint", "tinyint") else -c
+
+
+def _again(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """(keys, position, o) of the first ``n`` different rows of each group. The rank is compared as it is, so that the limit is also
+    applied in each task before the shuffle (window group limit); copies of these rows pass it and are merged, partially as well."""
+    ranked = rows.distinct().select(*keys, "o", F.row_number().over(Window.partitionBy(*keys).orderBy("o")).alias("rank"))
+    return ranked.filter(F.col("rank") <= n).select(*keys, (F.col("rank") - 1).alias("position"), "o")
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], score: str, ties: Sequence[str], row_id: str, n: int = 3, slots: int | None = None) -> DataFrame:
     """The ``n`` rows of highest ``score`` of each group; equal scores are settled by ``ties`` and then ``row_id``, ascending.
 
@@ -34,7 +46,7 @@ def top_per_group(df: DataFrame, group: Sequence[str], score: str, ties: Sequenc
     names = [*group, score, *ties, row_id]
     keys = [f"g{i}" for i in range(len(group))]
     order = F.struct(
-        (-F.col(score).cast("double")).alias("s"),
+        _falling(F.col(score), kinds[score]).alias("s"),
         *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)],
         F.col(row_id).alias("id"),
     )
@@ -51,11 +63,10 @@ def top_per_group(df: DataFrame, group: Sequence[str], score: str, ties: Sequenc
 
     crowded = heaps.filter(short).select(*keys)
     if not crowded.isEmpty():
-        again = rows.join(crowded, keys, "left_semi").selectExpr(*keys, "o", f"dense_rank() over (partition by {', '.join(keys)} order by o) - 1 as position")
-        found = found.unionByName(again.filter(F.col("position") < n).dropDuplicates([*keys, "position"]))
+        found = found.unionByName(_again(rows.join(crowded, keys, "left_semi"), keys, n))
     return found.select(
         *[F.col(k).alias(c) for c, k in zip(group, keys)],
-        (-F.col("o.s")).alias(score),
+        _falling(F.col("o.s"), kinds[score]).alias(score),
         *[F.col(f"o.t{i}").alias(c) for i, c in enumerate(ties)],
         F.col("o.id").alias(row_id),
         (F.col("position") + 1).cast("bigint").alias("position"),

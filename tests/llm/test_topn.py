@@ -1,7 +1,7 @@
 import math
 import random
 
-from tallyforge.llm.topn import top_per_group
+from tallyforge.llm.topn import _again, top_per_group
 
 SCHEMA = "g string, h string, s double, line long, name string, id long, g0 string, o int"
 
@@ -43,3 +43,16 @@ def test_copies_that_fill_the_heap_lose_nothing(spark):
 def test_small_and_empty(spark):
     assert run(spark, []) == {}
     assert run(spark, [("a", "x", 1.0, None, None, 5, None, None)]) == {("a", "x"): [5]}
+
+
+def test_scores_keep_their_type(spark):
+    big = 2**53
+    df = spark.createDataFrame([("a", "x", big + i, 1, "n", i) for i in range(4)] + [("a", "y", -(2**63), 1, "n", 9)], "g string, h string, s long, line long, name string, id long")
+    rows = {(r["h"], r["position"]): (r["id"], r["s"]) for r in top_per_group(df, ["g", "h"], "s", ["line", "name"], "id", 2).collect()}
+    assert rows == {("x", 1): (3, big + 3), ("x", 2): (2, big + 2), ("y", 1): (9, -(2**63))}
+
+
+def test_the_second_look_limits_before_its_shuffle(spark, capsys):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, o long").repartition(3)
+    plan = _again(df, ["k"], 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
