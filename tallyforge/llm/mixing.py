@@ -16,11 +16,15 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_SOURCES = 100_000
 
 
-def _encoder(vocabulary: str):
+def read_vocabulary(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+def _encoder(vocabulary: str | dict[bytes, int]):
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = read_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
     return tiktoken.Encoding("public", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -32,12 +36,14 @@ def clean_source(c) -> F.Column:
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens): each document once, whole texts; null and empty texts have 0 tokens.
 
-    Texts are counted where they are read, and only the counts are shuffled. Special strings are ordinary text.
+    Texts are counted where they are read, and only the counts are shuffled. Special strings are ordinary text. The vocabulary is
+    read by the driver and sent along (about 1 MB for 50,000 tokens), so executors need no such file.
     """
     kind = dict(docs.dtypes)[doc_id]
+    ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encode = _encoder(ranks.value).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(encode(t)) if t else 0 for t in b["text"]]})
 
@@ -68,7 +74,7 @@ def mixing_plan(counts: DataFrame, targets: DataFrame, total: float | None = Non
     """One row per target row: size, target_tokens, drawn_tokens, repeats, reached_share, falls_short.
 
     ``total`` is the size of the mix in tokens, by default the size of all documents whose source is listed. A source
-    falls short if ``max_repeats`` times its size is less than its target share of the total. Target rows that repeat a source
+    falls short if the filling clamped it, at ``max_repeats`` times its size, below its target share of the total. Target rows that repeat a source
     count once; rows with a null source, share or cap are treated as share 0 or cap 0. A source without documents has size 0;
     documents of unlisted or null sources take no part. ``targets`` has one row per source, so it is bounded by
     ``max_sources`` (checked); documents are only ever summed in the cluster.
@@ -85,7 +91,7 @@ def mixing_plan(counts: DataFrame, targets: DataFrame, total: float | None = Non
     drawn = fill_shares(sizes, shares, caps, whole)
     got = math.fsum(drawn.values())
     rows = [
-        (r["source"], int(sizes[k]), float(shares[k]), float(caps[k]), whole * shares[k], drawn[k], drawn[k] / sizes[k] if sizes[k] else 0.0, drawn[k] / got if got else 0.0, caps[k] * sizes[k] < shares[k] * whole)
+        (r["source"], int(sizes[k]), float(shares[k]), float(caps[k]), whole * shares[k], drawn[k], drawn[k] / sizes[k] if sizes[k] else 0.0, drawn[k] / got if got else 0.0, drawn[k] == caps[k] * sizes[k] and drawn[k] < whole * shares[k])
         for r in wanted
         for k in [r["k"]]
     ]

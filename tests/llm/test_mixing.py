@@ -44,3 +44,11 @@ def test_empty(spark):
     row = mixing_plan(counts, targets).first()
     assert (row["size"], row["drawn_tokens"], row["falls_short"]) == (0, 0.0, False)
     assert mixing_plan(counts, targets.limit(0)).count() == 0
+
+
+def test_a_source_clamped_above_its_share_does_not_fall_short(spark):
+    # b must make up for a and is clamped, too, but above its own target
+    counts = spark.createDataFrame([(1, "a", 10), (2, "b", 30), (3, "c", 110)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.19, 1), ("c", 0.41, 9)], "source string, target_share double, max_repeats long")
+    got = {r["source"]: (r["drawn_tokens"], r["falls_short"]) for r in mixing_plan(counts, targets).collect()}
+    assert got["a"] == (10.0, True) and got["b"] == (30.0, False) and not got["c"][1]
