@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -33,10 +34,6 @@ def numbered(df: DataFrame, by: Sequence[F.Column | str], name: str, scratch: Sc
     return out.select(*df.columns, name)
 
 
-#: Weights are compared in units of 1/n after rounding to so many decimals, as the sums come in any order.
-DECIMALS = 9
-
-
 def _units(cells: DataFrame) -> pd.DataFrame:
     """One row per (score, block): its levels and rows, the values at its ends, and where a level that began earlier began.
 
@@ -72,7 +69,7 @@ def _below(u: pd.DataFrame, total: np.ndarray, under_top: np.ndarray) -> tuple[n
     return off, np.where(head >= 0, off[head] + under_top[head], off)
 
 
-def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Sequence[str], damping: float = 0.5, tolerance: float = 1e-8, most_steps: int = 200) -> DataFrame:
+def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Sequence[str], damping: float = 0.5, tolerance: float | None = None, most_steps: int = 200) -> DataFrame:
     """(item, weight, position): all items that have every score of ``names``, best first; higher values are better.
 
     The walk: from an item pick one of the scores and then any item; jump there if it stands higher in that score, else
@@ -83,11 +80,13 @@ def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Seque
     the blocks, sums inside them, adds what lies in the blocks below, and sends the sums back to the items: two shuffles. The totals
     of the blocks, one row each, are added up on the driver. A value that most items share spreads over as many
     blocks as it needs, so neither it nor a score's whole column is ever in one task. Steps repeat until no item's weight moves by more than
-    ``tolerance / n``; if ``most_steps`` do not suffice, that is an error.
+    ``tolerance / n``; by default a thousandth of what one place in one score is worth, so positions no longer change. If ``most_steps`` do not
+    suffice, that is an error.
 
     Null and NaN values are missing; infinite values rank as such; items with a missing score are left out; equal values
     stand level; a repeated (item, score) row counts once (the largest value if they differ); scores outside ``names`` are
-    ignored; an empty table gives an empty result. Weights that agree to nine digits are equal; such items are placed by their id.
+    ignored; an empty table gives an empty result. Weights that differ by less than the
+    default tolerance are equal, as sums come in any order; such items are placed by their id.
     """
     spark = scores.sparkSession
     scratch = Scratch(spark)
@@ -103,6 +102,8 @@ def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Seque
     if not n:
         return spark.createDataFrame([], f"item {kind}, weight double, position bigint").withColumnRenamed("item", item)
 
+    unit_weight = 1e-3 / (n * m)
+    tolerance = unit_weight if tolerance is None else tolerance
     placed = in_order(wide.select("i", F.explode("vs").alias("s")).select("i", "s.score", "s.v"), ["score", "v", "i"])
     unit = Window.partitionBy("score", "block").orderBy("v")
     cells = scratch.save(placed.select("i", "score", "v", "block", F.dense_rank().over(unit).alias("r"), F.count("*").over(unit).alias("upto")))
@@ -141,6 +142,6 @@ def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Seque
     else:
         raise RuntimeError(f"the walk did not settle in {most_steps} steps")
     walk = walk.select("i", "p").join(wide.select("i", "item"), "i")
-    weight = F.round(F.col("p") * F.lit(float(n)), DECIMALS)
+    weight = F.round(F.col("p") * F.lit(float(n)), min(15, math.ceil(-math.log10(unit_weight))))
     ranked = numbered(walk.select("item", (weight / F.lit(float(n))).alias("weight")), [-F.col("weight"), "item"], "position", scratch)
     return ranked.select(F.col("item").alias(item), "weight", "position")
