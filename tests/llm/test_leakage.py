@@ -1,7 +1,7 @@
 import random
 import re
 
-from tallyforge.llm.leakage import leaked_items
+from tallyforge.llm.leakage import build_index, leaked_items, matches, passages
 
 
 def runs(t, n):
@@ -55,3 +55,22 @@ def test_dirt(spark):
 def test_empty(spark):
     assert run(spark, [], [(1, "a b c")]) == set()
     assert run(spark, [(1, "a b c")], []) == set()
+
+
+def test_block_bounds_skip_postings_and_lose_nothing():
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(12, 40)))) for i in range(300)]
+    index = build_index(items, 6, block=8)
+    for i in range(len(index.words)):
+        own = index.item[index.start[i] : index.start[i + 1]]
+        assert (own[1:] > own[:-1]).all()
+        for b, top in zip(index.block[index.block_start[i] : index.block_start[i + 1]], index.block_max[index.block_start[i] : index.block_start[i + 1]]):
+            assert index.impact[index.start[i] : index.start[i + 1]][own // 8 == b].max() == top
+    docs = []
+    for d in range(200):
+        src = rnd.choice(items)[1].split()
+        a = rnd.randrange(len(src) - 8)
+        docs.append((d, " ".join([rnd.choice(vocab) for _ in range(30)] + src[a : a + rnd.randrange(4, 9)])))
+    queue = [(d, p) for d, t in docs for p in passages(t, index.words, 6, 20)]
+    assert set(matches(queue, index)) == brute(docs, items, 6)
