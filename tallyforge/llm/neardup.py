@@ -89,7 +89,7 @@ def _shared(a, b) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def near_duplicates(df: DataFrame, row_id: str, sequence: str, threshold: float = 0.8, run: int = 3, least_tokens: int = 20, radius: float = 0.05) -> NearDuplicates:
+def near_duplicates(df: DataFrame, row_id: str, sequence: str, threshold: float = 0.8, run: int = 3, least_tokens: int = 20, radius: float = 0.05, every_pair: bool = True) -> NearDuplicates:
     """Records whose token sequences have a Jaccard similarity of distinct runs strictly above ``threshold``.
 
     Equal sequences form one class, and the join works on classes. Set relations are used twice. Index level: the runs of
@@ -100,9 +100,14 @@ def near_duplicates(df: DataFrame, row_id: str, sequence: str, threshold: float
     (triangle inequality), by counting only over the few runs in which they differ. Both are exact: no pair is lost or capped.
     Parity bitmaps reject nearly all other candidates inside the join, before any set is fetched.
 
+    Without ``every_pair`` the pairs are those that groups need: followers with their leader, but not with each other, and pairs of
+    followers of two leaders only where the leaders themselves are no pair. The groups are the same; a crowd of alike records then
+    costs one row for each, not one for each two.
+
     Tokens are compared by 64-bit hashes. Null sequences and those shorter than ``least_tokens`` belong to no class; a null token is a
     token of its own; a repeated id counts once; null ids are left out; an empty table gives empty results; other columns are ignored.
     """
+    every_pair = every_pair or radius >= 1 - threshold  # a follower might then be no partner of its leader
     spark = df.sparkSession
     scratch = Scratch(spark)
     token = F.transform(F.col("s"), lambda t: F.xxhash64(F.coalesce(t.cast("string"), F.lit("\0"))))
@@ -176,14 +181,17 @@ def near_duplicates(df: DataFrame, row_id: str, sequence: str, threshold: float
     f = lambda c, p: family.select(F.col("leader").alias(c), *[F.col(k).alias(p + k) for k in ("cls", "dist", "n", "plus", "minus")])
     wide = found.filter("rhol > 0 or rhom > 0").join(f("l", "x"), "l").join(f("m", "y"), "m").filter("xdist > 0 or ydist > 0 or xcls <> l or ycls <> m")
     wide = wide.filter((1 - F.col("sim")) - F.col("xdist") - F.col("ydist") < 1 - threshold + eps)
+    if not every_pair:
+        wide = wide.filter(F.col("sim") <= threshold)
     in_x = lambda c: _shared(c, F.col("gl")) - _shared(c, F.col("xminus")) + _shared(c, F.col("xplus"))
     o = F.col("o") + _shared("xplus", "gm") - _shared("xminus", "gm") + in_x(F.col("yplus")) - in_x(F.col("yminus"))
     derived = wide.select(F.col("xcls").alias("a"), F.col("ycls").alias("b"), o.alias("o"), (F.col("xn") + F.col("yn")).alias("s"))
-    p, q = diff.alias("p"), diff.alias("q")
-    siblings = p.join(q, (F.col("p.leader") == F.col("q.leader")) & (F.col("p.cls") < F.col("q.cls")))
-    siblings = siblings.join(followers.groupBy("leader").agg(F.first("ln").alias("ln")).withColumnRenamed("leader", "head"), F.col("p.leader") == F.col("head"))
-    o = F.col("ln") - F.size("p.minus") - F.size("q.minus") + _shared("p.minus", "q.minus") + _shared("p.plus", "q.plus")
-    derived = derived.unionByName(siblings.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"), o.alias("o"), (F.col("p.n") + F.col("q.n")).alias("s")))
+    if every_pair:
+        p, q = diff.alias("p"), diff.alias("q")
+        siblings = p.join(q, (F.col("p.leader") == F.col("q.leader")) & (F.col("p.cls") < F.col("q.cls")))
+        siblings = siblings.join(followers.groupBy("leader").agg(F.first("ln").alias("ln")).withColumnRenamed("leader", "head"), F.col("p.leader") == F.col("head"))
+        o = F.col("ln") - F.size("p.minus") - F.size("q.minus") + _shared("p.minus", "q.minus") + _shared("p.plus", "q.plus")
+        derived = derived.unionByName(siblings.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"), o.alias("o"), (F.col("p.n") + F.col("q.n")).alias("s")))
     pairs = direct.unionByName(derived.select("a", "b", (F.col("o") / (F.col("s") - F.col("o"))).alias("sim"))).filter(F.col("sim") > threshold)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("sim").alias("similarity"))
     return NearDuplicates(members, pairs)

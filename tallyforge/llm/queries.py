@@ -74,7 +74,7 @@ SELECT fn_id, any_value(class_id) AS class_id, min(other) AS group_id FROM r JOI
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each function with at least one partner, its class of equal shapes and the group that near-duplicates bring it together with."""
-    found = neardup.near_duplicates(_t(spark, d, "fingerprints"), "fn_id", "shape")
+    found = neardup.near_duplicates(_t(spark, d, "fingerprints"), "fn_id", "shape", every_pair=False)
     links = found.pairs.select("a", "b").unionByName(found.members.select(F.col("class").alias("a"), F.col("id").alias("b")))
     groups = components.connected_components(links, "a", "b")
     return found.members.join(groups, F.col("id") == F.col("node")).select(F.col("id").alias("fn_id"), F.col("class").alias("class_id"), F.col("component").alias("group_id"))

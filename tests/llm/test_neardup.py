@@ -46,6 +46,27 @@ def test_families_of_edits(spark):
     assert all(abs(r.similarity) > 0.8 for r in found.pairs.collect())
 
 
+def components(pairs):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in root}
+
+
+def test_fewer_pairs_give_the_same_groups(spark):
+    base = [random.Random(8).choice(KINDS) for _ in range(120)]
+    rows = make(20, 7, 4) + [(1000 + i, base[:i] + ["Try"] + base[i + 1 :], "x", 1) for i in range(30)]
+    got, few = run(spark, rows, every_pair=False)
+    want = brute(rows)
+    assert components(got) == components(want) and got < want and few.pairs.count() < near_duplicates(spark.createDataFrame(rows, SCHEMA), "id", "s").pairs.count()
+
+
 def test_wide_radius_and_low_threshold(spark):
     rows = make(15, 2, 5)
     got, _ = run(spark, rows, threshold=0.5, radius=0.2)
