@@ -56,8 +56,8 @@ def tail_sums(df: DataFrame, group: Sequence[str], score: str, alpha: float) ->
     """(group, n, k, loss, tail, border, next) with one row per group: number of items, size of the tail, sum of all losses, sum
     of the ``k`` greatest losses, the least loss inside the tail and the greatest loss outside (0 if there is none).
 
-    A selection by buckets, not a sort: a group of any size is counted partially before the shuffle, no window
-    sees more rows than there are buckets, or distinct losses in one bucket.
+    A selection by buckets, not a sort: a group of any size is counted partially before the shuffle, only the losses of the bucket
+    that holds the border are then grouped by value, and no window sees more rows than there are buckets, or distinct losses in one bucket.
     """
     keys = list(group)
     rows = df.select(*keys, (1.0 - F.col(score)).alias("_l")).withColumn("_b", F.least(F.greatest(F.floor(F.col("_l") * TAIL_BUCKETS), F.lit(0)), F.lit(TAIL_BUCKETS - 1)))
@@ -69,7 +69,9 @@ def tail_sums(df: DataFrame, group: Sequence[str], score: str, alpha: float) ->
     hist = hist.withColumn("_before", F.sum("_c").over(upto) - F.col("_c")).withColumn("_above", F.coalesce(F.sum("_t").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     hist = hist.withColumn("_below", F.coalesce(F.lead("_m").over(falling), F.lit(0.0)))
     at = hist.filter((F.col("_before") < F.col("k")) & (F.col("k") <= F.col("_before") + F.col("_c"))).drop("_c", "_t", "_m")
-    levels = rows.groupBy(*keys, "_b", "_l").agg(F.count("*").alias("_c")).join(at, [*keys, "_b"])
+    # only the rows of the bucket at the border are looked at by value
+    held = [c for c in at.columns if c not in keys]
+    levels = (rows.join(at, [*keys, "_b"]) if keys else rows.join(F.broadcast(at), "_b")).groupBy(*keys, *held, "_l").agg(F.count("*").alias("_c"))
     falling = Window.partitionBy(*keys).orderBy(F.col("_l").desc())
     past = falling.rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn("_gone", F.coalesce(F.sum("_c").over(past), F.lit(0))).withColumn("_taken", F.coalesce(F.sum(F.col("_c") * F.col("_l")).over(past), F.lit(0.0)))

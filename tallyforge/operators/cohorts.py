@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores as s
 from ..policy import Policy, Strategy
+from ..session import Scratch
 
 
 def finite(x: Column) -> Column:
@@ -20,15 +21,49 @@ def moments(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     return df.filter(finite(v)).groupBy(*group).agg(F.count("*").alias("value_count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.min(v).alias("min_raw"), F.max(v).alias("max_raw"))
 
 
-def cohort_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """``moments`` and the exact quartiles, interpolated linearly.
+def exact_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(group, q0, q1, ...): exact quantiles of the finite values, interpolated linearly, for groups of any size.
 
-    ``percentile`` keeps counts per distinct value and merges partially; its buffers grow with the distinct values of a
-    group. For groups of billions of distinct values sort instead (``llm.percentiles``).
+    Values are first counted, so a value of any frequency is one row; the distinct ones are range-partitioned by (group, value), and
+    written with the number of their partition. Sums per partition, one row each, tell in which partition a position lies;
+    only there places are counted out. No group is ever in one task or in one buffer. Null group columns are a group of their own.
     """
-    v = F.col(value)
-    q = [F.percentile(v, F.lit(p)).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))]
-    return df.filter(finite(v)).groupBy(*group).agg(F.count("*").alias("value_count"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.min(v).alias("min_raw"), F.max(v).alias("max_raw"), *q)
+    keys = [f"_g{i}" for i in range(len(group))]
+    rows = df.filter(finite(F.col(value))).select(*[F.col(c).alias(k) for c, k in zip(group, keys)], F.col(value).cast("double").alias("_v"))
+    counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = counted.repartitionByRange(parts, *keys, "_v").withColumn("_pid", F.spark_partition_id())
+    placed = Scratch(df.sparkSession).save(placed)
+    sums = placed.groupBy(*keys, "_pid").agg(F.sum("_c").alias("_s"))
+    w = Window.partitionBy(*keys)
+    sums = sums.withColumn("_n", F.sum("_s").over(w)).withColumn("_from", F.sum("_s").over(w.orderBy("_pid")) - F.col("_s"))
+    at = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        at += [F.struct(F.lit(i).alias("i"), F.lit(False).alias("up"), F.floor(h).alias("k"), (h - F.floor(h)).alias("w")), F.struct(F.lit(i).alias("i"), F.lit(True).alias("up"), F.ceil(h).alias("k"), (h - F.floor(h)).alias("w"))]
+    wanted = sums.select("*", F.explode(F.array(*at)).alias("t")).filter((F.col("t.k") >= F.col("_from")) & (F.col("t.k") < F.col("_from") + F.col("_s")))
+    wanted = wanted.groupBy(*keys, "_pid").agg(F.first("_from").alias("_from"), F.collect_list("t").alias("_t"))  # at most two for each probability
+    same = F.col("x._pid") == F.col("y._pid")
+    for k in keys:
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    inside = placed.alias("x").join(wanted.alias("y"), same).select("x.*", "_from", "_t")
+    upto = F.col("_from") + F.sum("_c").over(Window.partitionBy(*keys, "_pid").orderBy("_v"))
+    hit = inside.withColumn("_upto", upto).select(*keys, "_v", "_c", "_upto", F.explode("_t").alias("t")).filter((F.col("t.k") < F.col("_upto")) & (F.col("t.k") >= F.col("_upto") - F.col("_c")))
+    qs = []
+    for i in range(len(probs)):
+        low, high, share = (F.max(F.when((F.col("t.i") == i) & (F.col("t.up") == up), F.col(c))) for up, c in ((False, "_v"), (True, "_v"), (False, "t.w")))
+        qs.append((low + (high - low) * share).alias(f"q{i}"))
+    return hit.groupBy(*keys).agg(*qs).select(*[F.col(k).alias(c) for c, k in zip(group, keys)], *[f"q{i}" for i in range(len(probs))])
+
+
+def cohort_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """``moments`` and the exact quartiles, interpolated linearly. One row per group, written once: readers are many."""
+    q = exact_quantiles(df, group, value, (0.25, 0.5, 0.75)).select(*[F.col(c).alias(f"_{c}") for c in group], F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+    m = moments(df, group, value)
+    same = F.lit(True)
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return Scratch(df.sparkSession).save(m.join(q, same).drop(*[f"_{c}" for c in group]))
 
 
 def merge_moments(parts: DataFrame, group: Sequence[str]) -> DataFrame:

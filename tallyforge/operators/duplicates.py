@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.sets import run_hashes
 
@@ -26,18 +26,34 @@ def exact_members(df: DataFrame, shape: str = "shape", member: str = "fn_id", le
     return rows.join(groups, [*by, "h1", "h2", "n"]).select(*by, F.col("m").alias(member), "first")
 
 
+#: Cells of the table of run frequencies. It goes to the driver and into the plan, whatever the data; runs that share a cell share a frequency.
+FREQUENCY_CELLS = 8192
+
+
+def _rarest_first(sets: DataFrame, runs: str) -> Column:
+    """The runs of a set in one global order, the rarest first: a prefix then lists runs that few sets have."""
+    cell = lambda h: F.pmod(F.shiftright(h, 20), F.lit(FREQUENCY_CELLS)).cast("int")
+    seen = sets.select(F.explode(runs).alias("h")).groupBy(cell(F.col("h")).alias("c")).agg(F.count("*").alias("n")).collect()
+    counts = [0] * FREQUENCY_CELLS
+    for r in seen:
+        counts[r["c"]] = r["n"]
+    table = F.from_json(F.lit(str(counts)), "array<bigint>")  # a constant: it is folded once
+    return F.transform(F.array_sort(F.transform(runs, lambda h: F.struct(F.element_at(table, cell(h) + 1).alias("n"), h.alias("h")))), lambda x: x["h"])
+
+
 def near_pairs(df: DataFrame, shape: str = "shape", member: str = "fn_id", threshold: float = 0.8, least: int = 5, length_ratio: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """(by, a, b, similarity), a < b: items in no exact group whose distinct 3-grams have a Jaccard similarity above
     ``threshold``, both with the same ``by``.
 
-    Prefix filter: the runs of a set are ordered by a hash, and only the first n - ceil(t n) + 1 are joined on; any pair
-    above the threshold meets in one of them. Size and length bounds and a parity bitmap (each run flips one of 128 bits, so
+    Prefix filter: the runs of a set are ordered by their frequency over all sets, and only the first n - ceil(t n) + 1 are joined on; any pair
+    above the threshold meets in one of them, and hot runs stand in hardly any prefix. Size and length bounds and a parity bitmap (each run flips one of 128 bits, so
     differing bits bound the difference of the sets from below) are part of the join's condition; what passes is made
     distinct and verified on the full sets.
     """
     rows = df.filter(F.size(shape) >= least).select(*by, F.col(member).alias("m"), F.col(shape).alias("s"))
     single = rows.join(exact_members(df, shape, member, least, by).select(*by, F.col(member).alias("m")), [*by, "m"], "left_anti")
-    sets = single.select(*by, "m", F.array_sort(run_hashes(F.col("s"), 3)).alias("g"), F.size("s").alias("len")).withColumn("n", F.size("g"))
+    sets = single.select(*by, "m", run_hashes(F.col("s"), 3).alias("g"), F.size("s").alias("len")).withColumn("n", F.size("g"))
+    sets = sets.withColumn("g", _rarest_first(sets, "g"))
     flip = lambda half: F.aggregate("g", F.lit(0).cast("bigint"), lambda a, h: F.when(F.pmod(F.shiftright(h, 6), F.lit(2)) == half, a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(h, F.lit(64)).cast("int")))).otherwise(a))
     sets = sets.withColumn("w0", flip(0)).withColumn("w1", flip(1))
     head = sets.select(*by, "m", "n", "len", "w0", "w1", F.explode(F.slice("g", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("k"))

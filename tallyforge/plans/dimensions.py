@@ -68,9 +68,13 @@ def economy(functions: DataFrame, by: Sequence[str] = (), macros: int = 0, expor
 
 
 def coupling_rows(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per function or module with its outgoing cross-module edges."""
-    own = coupling.by_function(edges, by)
-    return _rows(own, by, "coupling_density", "module", "coupling_module", F.lit(1.0), s.coupling_raw("outgoing"), F.concat(F.col("outgoing").cast("string"), F.lit(" edges")), file=F.lit("<codebase>"))
+    """One row per function or module with its outgoing cross-module edges, at its own file and line."""
+    own = coupling.function_rows(edges, by)
+    segment = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"))
+    scope = F.when(F.col("function").isNull(), F.array(segment("module", "module"))).otherwise(F.array(segment("module", "module"), segment("function", "function")))
+    own = own.withColumn("scope_path", scope).withColumn("name", F.concat_ws("::", "module", "function"))
+    rows = _rows(own, by, "coupling_density", "module", "coupling_module", F.lit(1.0), s.coupling_raw("outgoing"), F.concat(F.col("outgoing").cast("string"), F.lit(" outgoing cross-module edge(s)")))
+    return rows.withColumn("kind", F.when(F.size("scope_path") > 1, F.lit("function")).otherwise(F.lit("module")))
 
 
 def score_observations(rows: DataFrame, policy: Policy, stats: DataFrame | None = None, on: Sequence[str] = ()) -> DataFrame:
@@ -122,7 +126,7 @@ def dimension_scores(observations: DataFrame, policy: Policy, by: Sequence[str]
 def score(observations: DataFrame, policy: Policy, snapshots: DataFrame, duplication: DataFrame | None = None, by: Sequence[str] = (), coupling: DataFrame | None = None) -> Scored:
     """Dimension scores and the composite for every snapshot.
 
-    ``snapshots`` has one row per snapshot (the ``by`` columns); ``duplication`` has (by, duplication_score); ``coupling``
+    ``snapshots`` has one row per snapshot (the ``by`` columns); ``duplication`` is ``duplicates.duplication_score``; ``coupling``
     (``coupling_fallback``) holds for snapshots without coupling observations. A dimension without observations scores 1 and
     still enters the composite.
     """

@@ -675,6 +675,35 @@ def q_coupling_files(spark, d):
     return coupling.first_file(edges(spark, d), "caller_line")
 
 
+def _calls(spark, d) -> DataFrame:
+    """Edges by order priority; a customer is a function, at the line of its number."""
+    return edges(spark, d, "o_orderpriority").withColumnRenamed("o_orderpriority", "label").withColumn("caller_line", F.expr("cast(substring(caller_file, 2) as bigint)"))
+
+
+CE = """ce AS (SELECT DISTINCT o_orderpriority AS label, a.n_name AS x, b.n_name AS y, c_mktsegment AS f, o_custkey AS line, 'c' || o_custkey AS xf, 's' || l_suppkey AS yf
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey
+WHERE a.n_name <> b.n_name),
+cs AS (SELECT label, 'function' AS kind, min(xf) AS file, line, x || '::' || f AS name, count(DISTINCT y) AS k, 'module:' || x || '/function:' || f AS scope FROM ce GROUP BY label, x, f, line
+UNION ALL SELECT label, 'module', min(file), CAST(0 AS BIGINT), x, 0, 'module:' || x FROM (SELECT label, y AS x, yf AS file FROM ce) z WHERE NOT EXISTS (SELECT 1 FROM ce WHERE ce.label = z.label AND ce.x = z.x) GROUP BY label, x),
+ci AS (SELECT *, exp(-ln(2.0) * k / 3) AS s FROM cs)"""
+
+
+@query(f"WITH {CE} SELECT label, kind, file, line, name, scope, k || ' outgoing cross-module edge(s)' AS detail, CAST(k AS DOUBLE) AS raw, round(s, 6) AS calibrated_score FROM ci")
+def q_coupling_rows(spark, d):
+    rows = dimensions.score_observations(dimensions.coupling_rows(_calls(spark, d), ["label"]), Policy())
+    return rows.select("label", "kind", "file", "line", "name", rollup.key(F.col("scope_path")).alias("scope"), "detail", "raw", r6("calibrated_score"))
+
+
+@query(
+    f"""WITH {CE}, w AS (SELECT *, sum(ln(s)) OVER (PARTITION BY label) AS t, count(*) OVER (PARTITION BY label) AS n FROM ci)
+SELECT label, file, line, name AS function_name, round(exp((t - ln(s)) / n) - exp(t / n), 9) AS responsibility FROM w WHERE s < 1 - 1e-12"""
+)
+def q_heatmap_coupling(spark, d):
+    rows = dimensions.score_observations(dimensions.coupling_rows(_calls(spark, d), ["label"]), Policy())
+    heat = attribution.itemized_heatmap(rows, ["label"], Aggregation(), score="calibrated_score")
+    return heat.select("label", "file", "line", F.col("name").alias("function_name"), (F.round("responsibility", 9) + F.lit(0.0)).alias("responsibility"))
+
+
 # ---- the corpus run with all five dimensions measured: a fingerprint belongs to the priority of its number modulo 5 ----
 
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -701,7 +730,8 @@ def corpus_run(spark, d, top: int = 10) -> tuple[dimensions.Scored, DataFrame]:
     obs = dimensions.bloat(fn, by).unionByName(dimensions.state_functions(fn, by)).unionByName(dimensions.economy(fn, by))
     fp = once(_t(spark, d, "fingerprints").select("fn_id", "name", "file", "line", "shape", "scope_path"), "fn_id")
     fp = fp.withColumn("label", F.element_at(F.array(*[F.lit(x) for x in _PRIORITIES]), (F.col("fn_id") % 5 + 1).cast("int")))
-    calls = edges(spark, d, "o_orderpriority").withColumnRenamed("o_orderpriority", "label")
+    # the functions of these edges are market segments: they have no line of their own
+    calls = edges(spark, d, "o_orderpriority").withColumnRenamed("o_orderpriority", "label").withColumn("caller_line", F.lit(0))
     return corpora.run(obs, corpora.cohort_feed(fn, None, by), Policy(), top=top, fingerprints=fp, edges=calls, overhead=dimensions.overhead_rows(fn, by))
 
 
