@@ -725,7 +725,7 @@ dm AS (SELECT * FROM g UNION ALL SELECT * FROM e UNION ALL SELECT * FROM du UNIO
 )
 
 
-def corpus_run(spark, d, top: int = 10) -> tuple[dimensions.Scored, DataFrame]:
+def corpus_run(spark, d, top: int | None = 10) -> tuple[dimensions.Scored, DataFrame]:
     fn, by = corpus(spark, d), ["label"]
     obs = dimensions.bloat(fn, by).unionByName(dimensions.state_functions(fn, by)).unionByName(dimensions.economy(fn, by))
     fp = once(_t(spark, d, "fingerprints").select("fn_id", "name", "file", "line", "shape", "scope_path"), "fn_id")
@@ -742,6 +742,37 @@ def q_corpus_run(spark, d):
     return sc.dimensions.unionByName(whole).select("label", "dimension", r6("score"), "item_count")
 
 
+HEAT = (
+    MEASURED
+    + """, pc AS (SELECT label, exp(avg(ln(score))) AS c FROM dm GROUP BY label),
+rs AS (SELECT a.label, a.dimension, a.score, any_value(c) AS c, sum(ln(b.score)) AS rest FROM dm a JOIN dm b ON a.label = b.label AND a.dimension <> b.dimension JOIN pc ON pc.label = a.label GROUP BY 1, 2, 3),
+cl AS (SELECT DISTINCT o_orderpriority AS label, a.n_name AS x, b.n_name AS y, c_mktsegment AS f, 'c' || o_custkey AS xf, 's' || l_suppkey AS yf
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_name <> b.n_name),
+im AS (SELECT label, 'bloat' AS dimension, file, line, name, exp(-ln(2.0) * pow(log2(greatest(CAST(lines AS DOUBLE), 1.0)) / log2(45.0), 3)) AS s FROM co WHERE NOT is_test
+  UNION ALL SELECT label, 'state_cardinality', file, line, name, exp(-ln(2.0) * pow(bits / 4.0, 2)) FROM co WHERE NOT is_test AND bits > 0
+  UNION ALL SELECT label, 'coupling_density', min(xf), 0, x || '::' || f, exp(-ln(2.0) * count(DISTINCT y) / 3) FROM cl GROUP BY label, x, f
+  UNION ALL SELECT label, 'coupling_density', '', 0, y, 1.0 FROM (SELECT DISTINCT label, y FROM cl) z WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.label = z.label AND cl.x = z.y)),
+iw AS (SELECT *, sum(ln(s)) OVER w AS t, count(*) OVER w AS n FROM im WINDOW w AS (PARTITION BY label, dimension)),
+pa AS (SELECT fn_id, any_value(name) AS name, any_value(file) AS file, any_value(line) AS line FROM fingerprints GROUP BY fn_id),
+dd AS (SELECT label, fn_id FROM lf SEMI JOIN ex USING (label, s) UNION SELECT label, a FROM np UNION SELECT label, b FROM np),
+es AS (SELECT label, 'duplication' AS dimension, file, line, name FROM dd JOIN pa USING (fn_id) UNION ALL SELECT label, 'code_economy', file, line, name FROM co WHERE NOT is_test AND NOT is_pub),
+ht AS (SELECT label, dimension, file, line, name AS function_name, exp((rest + (t - ln(s)) / n) / 5) - c AS r FROM iw JOIN rs USING (label, dimension) WHERE s < 1 - 1e-12
+  UNION ALL SELECT label, dimension, file, line, name, (exp(rest / 5) - c) / count(*) OVER (PARTITION BY label, dimension) FROM es JOIN rs USING (label, dimension) WHERE score < 1 - 1e-12)"""
+)
+
+
+@query(f"WITH {HEAT} SELECT label, dimension, file, line, function_name, round(r, 9) AS responsibility FROM ht WHERE r >= 1e-12")
+def q_heatmap_all(spark, d):
+    _, heat = corpus_run(spark, d, None)
+    return heat.select("label", "dimension", "file", "line", "function_name", (F.round("responsibility", 9) + F.lit(0.0)).alias("responsibility"))
+
+
+@query(f"WITH {HEAT} SELECT label, dimension, count(*) AS entries, round(sum(r) + 1e-9, 6) AS total FROM ht WHERE r >= 1e-12 GROUP BY 1, 2")
+def q_heatmap_all_totals(spark, d):
+    _, heat = corpus_run(spark, d, None)
+    return attribution.dimension_totals(heat, ["label"]).select("label", "dimension", "entries", rr("total", 6))
+
+
 # ---- overlay lookup ----
 
 

@@ -35,7 +35,10 @@ def analyze(spark: SparkSession, path: str, policy: Policy = Policy(), semantic:
     fp = source.fingerprints.withColumn("fn_id", F.concat_ws("|", "name", "file", F.col("line").cast("string")))
     near = duplicates.near_pairs(fp).persist()  # read by the score and by the details of the heatmap
     dup = duplicates.duplication_score(fp, pairs=near)
+    if not row["files_analyzed"]:
+        raise ValueError(f"no file under {path} could be parsed")
     summary = summaries.function_summary(source.functions, (), macros, exported).crossJoin(F.broadcast(summaries.type_summary(source.types))).crossJoin(F.broadcast(dup.select("duplication_score")))
+    summary = summary.withColumn("production_lines", F.lit(int(row["production_lines"] or 0)).cast("bigint"))  # code lines of the sources, not of their functions
     counts = entropy.token_counts(files.join(source.files.filter("error is null").select("path"), "path", "left_semi"), ["path"], "content")
     sem = semantic or {}
     obs = dimensions.bloat(source.functions)
@@ -44,7 +47,7 @@ def analyze(spark: SparkSession, path: str, policy: Policy = Policy(), semantic:
     obs = obs.unionByName(dimensions.economy(source.functions, macros=macros, exported=exported))
     if "call_edges" in sem:
         obs = obs.unionByName(dimensions.coupling_rows(sem["call_edges"]))
-    stats = cohorts.cohort_stats(corpus.cohort_feed(source.functions, source.types), ["cohort"], "value")
+    stats = cohorts.cohort_stats(corpus.cohort_feed(source.functions, source.types, (), macros, exported), ["cohort"], "value")
     # read by every dimension, by the composite and by the heatmap
     obs = dimensions.score_observations(obs, policy, stats).persist()
     one = spark.range(1).select()
