@@ -89,3 +89,49 @@ def compact_duration(seconds: Column) -> Column:
 def hint(pairs: Column) -> Column:
     """``key:action`` pairs joined by two blanks."""
     return F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit(":"), p["action"])), "  ")
+
+
+#: Names under which a language of snippets is also known.
+LANGUAGES = {
+    "csharp": "c#",
+    "golang": "go",
+    "js": "javascript",
+    "ts": "typescript",
+    "tsx": "typescript",
+    "jsx": "javascript",
+    "py": "python",
+    "rb": "ruby",
+    "rs": "rust",
+    "sh": "bourne again shell (bash)",
+    "bash": "bourne again shell (bash)",
+    "zsh": "bourne again shell (bash)",
+    "yml": "yaml",
+    "md": "markdown",
+    "dockerfile": "docker",
+    "tf": "terraform",
+    "proto": "protobuf",
+    "el": "lisp",
+    "elisp": "lisp",
+}
+
+
+def language(name: Column) -> Column:
+    """The language a name stands for, in lower case; an unknown name stands for itself."""
+    low = F.lower(F.trim(name))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LANGUAGES.items() for x in p]), low), low)
+
+
+#: Characters that take two columns: East Asian wide and full-width blocks, and pictographs.
+_WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1FAFF}\x{20000}-\x{3FFFD}]"
+
+
+def display_width(text: Column) -> Column:
+    """Columns that a text takes on a screen."""
+    return F.length(text) + F.regexp_count(text, F.lit(_WIDE))
+
+
+def clip_width(text: Column, width: int) -> Column:
+    """As much of the text as fits into ``width`` columns; a wide character that would stick out is left out."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    grown = F.aggregate(chars, F.struct(F.lit("").alias("t"), F.lit(0).alias("w")), lambda a, c: F.when(a["w"] + display_width(c) <= width, F.struct(F.concat(a["t"], c).alias("t"), (a["w"] + display_width(c)).alias("w"))).otherwise(F.struct(a["t"].alias("t"), F.lit(width + 1).alias("w"))))
+    return grown["t"]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import scores as s
 from ..operators import aggregates, attribution, cohorts, duplicates
 from ..policy import Policy
+from ..session import Scratch
 from . import dimensions
 
 
@@ -45,6 +46,7 @@ def run(
     ``dimensions.overhead_rows``; ``saved`` (label, density) holds for labels without edges.
     """
     by = [label]
+    scratch = Scratch(observations.sparkSession)
     stats = cohorts.cohort_stats(feed, ["cohort"], "value")
     labels = observations.select(label)
     if edges is not None:
@@ -54,15 +56,15 @@ def run(
     duplication = duplicated = None
     if fingerprints is not None:
         labels = labels.unionByName(fingerprints.select(label))
-        pairs = duplicates.near_pairs(fingerprints, by=by)
+        pairs = scratch.save(duplicates.near_pairs(fingerprints, by=by))
         duplication = duplicates.duplication_score(fingerprints, pairs=pairs, by=by)
         duplicated = dimensions.duplication_rows(fingerprints, duplicates.details(duplicates.exact_members(fingerprints, by=by), pairs, by=by), by=by)
     # read by every dimension, by the composite and by the heatmap
-    obs = dimensions.score_observations(observations, policy, stats).persist()
-    snapshots = labels.distinct()
+    obs = scratch.save(dimensions.score_observations(observations, policy, stats))
+    snapshots = scratch.save(labels.distinct())
     bare = None if saved is None else dimensions.coupling_fallback(saved, snapshots, by)
     scored = dimensions.score(obs, policy, snapshots, duplication, by, bare)
-    scored.dimensions = scored.dimensions.persist()  # five rows a label, read by the composite and once per dimension of the heatmap
+    scored.dimensions = scratch.save(scored.dimensions)  # five rows a label, read by the composite and once per dimension of the heatmap
     scored.composite = scored.dimensions.groupBy(*by).agg(aggregates.scalarize(F.col("score"), policy.objective_scalarization).alias("score"))
     heat = dimensions.heatmap(scored, policy, by, duplicated, overhead)
     return scored, heat if top is None else attribution.top_per_label(heat, label, top)

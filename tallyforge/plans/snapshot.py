@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import aggregates, cohorts, duplicates, entropy, summaries
 from ..policy import Policy
+from ..session import Scratch
 from ..sources import rust
 from . import corpus, dimensions
 
@@ -29,11 +30,12 @@ def analyze(spark: SparkSession, path: str, policy: Policy = Policy(), semantic:
     run), else 1, and still enters the composite."""
     files = rust.read_files(spark, path)
     source = rust.snapshot(files)
-    source.measured = source.measured.persist()
+    scratch = Scratch(spark)
+    source.measured = scratch.save(source.measured)  # parsed once
     row = source.macros.first()
     macros, exported = int(row["macros"] or 0), int(row["exported"] or 0)
     fp = source.fingerprints.withColumn("fn_id", F.concat_ws("|", "name", "file", F.col("line").cast("string")))
-    near = duplicates.near_pairs(fp).persist()  # read by the score and by the details of the heatmap
+    near = scratch.save(duplicates.near_pairs(fp))  # read by the score and by the details of the heatmap
     dup = duplicates.duplication_score(fp, pairs=near)
     if not row["files_analyzed"]:
         raise ValueError(f"no file under {path} could be parsed")
@@ -49,12 +51,13 @@ def analyze(spark: SparkSession, path: str, policy: Policy = Policy(), semantic:
         obs = obs.unionByName(dimensions.coupling_rows(sem["call_edges"]))
     stats = cohorts.cohort_stats(corpus.cohort_feed(source.functions, source.types, (), macros, exported), ["cohort"], "value")
     # read by every dimension, by the composite and by the heatmap
-    obs = dimensions.score_observations(obs, policy, stats).persist()
+    obs = scratch.save(dimensions.score_observations(obs, policy, stats))
     one = spark.range(1).select()
     bare = None if "call_edges" in sem else dimensions.coupling_fallback(saved, one)
     scored = dimensions.score(obs, policy, one, dup, coupling=bare)
-    scored.dimensions = scored.dimensions.persist()  # five rows, read by the composite and once per dimension of the heatmap
+    scored.dimensions = scratch.save(scored.dimensions)  # five rows, read by the composite and once per dimension of the heatmap
     scored.composite = scored.dimensions.agg(aggregates.scalarize(F.col("score"), policy.objective_scalarization).alias("score"))
     duplicated = dimensions.duplication_rows(fp, duplicates.details(duplicates.exact_members(fp), near))
-    heat = dimensions.heatmap(scored, policy, (), duplicated, dimensions.overhead_rows(source.functions, macros=source.macros)).persist()
+    heat = dimensions.heatmap(scored, policy, (), duplicated, dimensions.overhead_rows(source.functions, macros=source.macros))
+    heat = scratch.save(heat)
     return Report(source, summary, entropy.entropy(counts, ["path"]), entropy.entropy(entropy.pooled(counts)), dup, scored, heat)

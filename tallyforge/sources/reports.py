@@ -140,3 +140,24 @@ def compare(before, after) -> dict[str, DataFrame]:
         "dimensions": diffs.diff_dimensions(before.scored.dimensions, after.scored.dimensions),
         "loss_delta": diffs.strict_loss_delta(before.scored.dimensions, after.scored.dimensions),
     }
+
+
+#: The relations of a report that are stored; each is a table of its own.
+STORED = ("summary", "entropy_files", "entropy_total", "duplication", "observations", "dimensions", "composite", "heatmap")
+
+
+def save(report, folder: str) -> None:
+    """Write a ``plans.snapshot.Report``, one table per relation; what stood there is replaced."""
+    frames = {c: getattr(report, c) for c in ("summary", "entropy_files", "entropy_total", "duplication", "heatmap")}
+    frames |= {c: getattr(report.scored, c) for c in ("observations", "dimensions", "composite")}
+    for name in STORED:
+        frames[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load(spark: SparkSession, folder: str):
+    """A stored report, to be shown or compared like a fresh one; its sources are not part of it. A missing relation is an error."""
+    from ..plans import dimensions, snapshot
+
+    t = {name: spark.read.parquet(f"{folder}/{name}") for name in STORED}
+    scored = dimensions.Scored(t["observations"], t["dimensions"], t["composite"])
+    return snapshot.Report(None, t["summary"], t["entropy_files"], t["entropy_total"], t["duplication"], scored, t["heatmap"])
