@@ -85,8 +85,8 @@ def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Seque
 
     Null and NaN values are missing; infinite values rank as such; items with a missing score are left out; equal values
     stand level; a repeated (item, score) row counts once (the largest value if they differ); scores outside ``names`` are
-    ignored; an empty table gives an empty result. Weights that differ by less than the
-    default tolerance are equal, as sums come in any order; such items are placed by their id.
+    ignored; an empty table gives an empty result. Weights are rounded, in units
+    of 1/n, to nine digits or as many more as one place needs (twelve at most), as sums come in any order; items that then agree are placed by their id.
     """
     spark = scores.sparkSession
     scratch = Scratch(spark)
@@ -142,6 +142,6 @@ def rank_walk(scores: DataFrame, item: str, score: str, value: str, names: Seque
     else:
         raise RuntimeError(f"the walk did not settle in {most_steps} steps")
     walk = walk.select("i", "p").join(wide.select("i", "item"), "i")
-    weight = F.round(F.col("p") * F.lit(float(n)), min(15, math.ceil(-math.log10(unit_weight))))
+    weight = F.round(F.col("p") * F.lit(float(n)), min(12, max(9, math.ceil(-math.log10(unit_weight)))))
     ranked = numbered(walk.select("item", (weight / F.lit(float(n))).alias("weight")), [-F.col("weight"), "item"], "position", scratch)
     return ranked.select(F.col("item").alias(item), "weight", "position")
