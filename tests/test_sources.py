@@ -1,5 +1,7 @@
 import json
+import signal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,55 @@ def test_macros_lines_and_odd_tokens():
     assert [t.kind for t in lex("'a 'b'")] == ["life", "char"]
 
 
+@pytest.fixture
+def soon():
+    """An endless loop is a failure here, not a test run without end."""
+
+    def late(*_):
+        raise TimeoutError("no end in sight")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, 3)
+    yield
+    signal.setitimer(signal.ITIMER_REAL, 0)
+    signal.signal(signal.SIGALRM, before)
+
+
+@pytest.mark.parametrize(
+    "src",
+    [
+        "impl Foo;",
+        "mod m { fn a() {} impl Foo for Bar }",
+        "fn f() { g(|a) }",
+        "fn f() { g(|a: u8, b) }",
+        "fn f() { if x { |a } }",
+        "fn f() { move move }",
+        "fn f() { x as unsafe }",
+        "fn f() { let a: extern = 1; }",
+        "fn f() { let a: (fn) = 1; }",
+        "fn f() { let a: (foo!) = 1; }",
+        "fn f() { g(); match x }",
+        "mod m { fn a() {} fn b }",
+        "mod m { fn a() {} macro_rules! x }",
+        "fn f() { g(); { fn } }",
+    ],
+)
+def test_what_breaks_off_is_an_error_and_ends(soon, src):
+    with pytest.raises(RustSyntaxError):
+        measure_file(src, "x.rs")
+    good = "fn f() {}"
+    rows = next(rust._measure(iter([pd.DataFrame({"path": ["a", "b", "c"], "content": [good, src, good]})])))
+    assert [bool(e) for e in rows["error"]] == [False, True, False] and [len(f) for f in rows["functions"]] == [1, 0, 1]
+
+
+def test_the_whole_forms_still_parse(soon):
+    src = """fn f(p: unsafe extern "C" fn(u8) -> bool) { g(|a| a, |a: u8, b| b, || 1, move || 2, async move |a| a); let q: (fn(u8), foo!(x)) = r; match x {} x as fn(u8); }
+    macro_rules! x { () => {} } impl<T> Foo for Bar<T> where T: Baz { fn b(&self) {} }"""
+    got = measure_file(src, "x.rs")
+    assert [(f["name"], f["params"], f["nesting_depth"]) for f in got["functions"]] == [("f", 1, 1), ("b", 0, 0)]
+    assert got["fingerprints"][0]["shape"].count("Closure") == 5
+
+
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     d = tmp_path_factory.mktemp("src")
